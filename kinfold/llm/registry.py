@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module that defines ``query(spark, sf_dir)``.
 MODULES = {
     "op2_secret_scan": "op2_secret_scan",
+    "op5_language_id": "op5_language_id",
     "op6_minimum_bin_slack": "op6_minimum_bin_slack",
     "op7_forced_boundary_bpe": "op7_forced_boundary_bpe",
     "op10_pii": "op10_pii",
