@@ -15,6 +15,9 @@ pieces share is spread over many tasks.
 from __future__ import annotations
 
 import functools
+import os
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,11 @@ WORDS = 700_000
 GROUP = 50_000
 
 
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: A full stop or comma that stands in a longer run of signs.
+_SIGN_RUN = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_")
+
+
 class WordMemo:
     """Ids of texts whose tokenizer never joins across white space.
 
@@ -52,10 +60,12 @@ class WordMemo:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):  # white space to Python alone
+        if _ODD_SPACE.search(text):  # white space to Python alone
             return self._ids(text)
-        if text.isascii() and "<|" not in text:  # the tokenizer's lower case; special strings are case-sensitive
-            text = text.lower()
+        if "<|" not in text and (text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text)):
+            text = text.lower()  # as the tokenizer does; special strings are case-sensitive
+        if not _SIGN_RUN.search(text):  # single signs are words of their own
+            text = text.replace(".", " . ").replace(",", " , ")
         words = text.split()
         found = list(map(self.memo.get, words))
         if None in found:
@@ -76,8 +86,6 @@ class WordMemo:
 
 @functools.lru_cache(maxsize=2)
 def memo(path: str) -> WordMemo:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each Spark task
     return WordMemo(path)
 

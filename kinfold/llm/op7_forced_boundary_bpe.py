@@ -4,13 +4,14 @@ A merge can only join two bytes that stand side by side inside some vocabulary
 token. A byte pair that no token holds is therefore a certain cut. Texts are cut
 in two steps:
 
-1. before each blank or line feed that follows anything else. No token holds
-   such a pair (checked against the vocabulary when it is loaded), and the
-   pre-tokenizer's pattern always starts a new match there, so the chunks
-   between cuts are encoded independently and their ids concatenated. Ids of a
-   chunk are kept in a bounded memo.
-2. inside the pre-tokens of a chunk, at every byte pair that no token holds. The
-   fragments are merged by rank independently, then concatenated.
+1. before each blank or line feed, and before each full stop or comma after a
+   letter or digit. No token holds such a pair (checked against the vocabulary
+   when it is loaded), and the pre-tokenizer's pattern always starts a new match
+   there, so the chunks between cuts are encoded independently and their ids
+   concatenated. Ids of a chunk are kept in a bounded memo.
+2. inside the pre-tokens of a new chunk, at every byte pair that no token holds.
+   The fragments are merged independently, by the vocabulary's merge list, and
+   concatenated.
 
 Defined cases: null text is the empty text; an empty text has no ids. The
 special token's own string in a text gets the special id, as the library does.
@@ -19,8 +20,8 @@ special token's own string in a text gets the special id, as the library does.
 from __future__ import annotations
 
 import functools
-import heapq
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -35,12 +36,13 @@ from .common import batches, table
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Entries of the memos, per Python worker; a full memo is emptied.
-CHUNKS, PRETOKENS = 600_000, 300_000
+#: Entries of the memo, per Python worker; a full memo is emptied.
+CHUNKS = 700_000
 
 #: White space other than blank and line feed: such texts take the plain path.
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_RUNS = re.compile(r"[ \n]{2,}|^[ \n]|[ \n]$")
+_OTHER_SPACE = re.compile("[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Where a cut before every blank, line feed, full stop and comma would not be certain.
+_UNSURE = re.compile(r"[ \n]{2}|\W[.,]|_[.,]")
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
@@ -55,31 +57,31 @@ class ForcedBoundaryBPE:
     """Encoder and decoder of one byte-level BPE vocabulary file."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each Spark task
+        from tokenizers import Tokenizer, models
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         names = _byte_names()
         vocab = spec["model"]["vocab"]
+        merges = [tuple(p.split(" ")) if isinstance(p, str) else tuple(p) for p in spec["model"]["merges"]]
+        #: The merge list alone: no normalizer, no pre-tokenizer, no special tokens.
+        self.fragments = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+        self.stand_ins = {b: c for c, b in names.items()}
         self.token_bytes: dict[int, bytes] = {i: bytes(names[c] for c in t) for t, i in vocab.items()}
-        self.byte_ids = [0] * 256
-        inside = np.zeros(65536, bool)
-        for i, raw in self.token_bytes.items():
-            if len(raw) == 1:
-                self.byte_ids[raw[0]] = i
+        self.inside = np.zeros(65536, bool)
+        for raw in self.token_bytes.values():
             for a, b in zip(raw, raw[1:]):
-                inside[a << 8 | b] = True
-        self.inside = inside
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+                self.inside[a << 8 | b] = True
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         # A no-break space ends in a byte that some tokens hold before a blank; texts with one take the plain path.
-        self.blank_cuts = not any(re.search(rb"[^ \n][ \n]", raw.replace(b"\xc2\xa0", b"")) for raw in self.token_bytes.values())
-        self.chunks: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        tokens = [raw.replace(b"\xc2\xa0", b"") for raw in self.token_bytes.values()]
+        self.blank_cuts = not any(re.search(rb"[^ \n][ \n]", raw) for raw in tokens)
+        self.stop_cuts = not any(re.search(r"[^\W_][.,]", raw.decode("utf-8", "ignore")) for raw in tokens)
+        self.memo: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
@@ -96,82 +98,52 @@ class ForcedBoundaryBPE:
 
     def _plain(self, text: str) -> bytes:
         if not self.blank_cuts or _OTHER_SPACE.search(text):
-            return self._pretokens(text)
-        if _RUNS.search(text):
+            keys = self.pattern.findall(text)
+        elif not self.stop_cuts or _UNSURE.search(text):
             keys = _CHUNK.findall(text)
-        else:  # single blanks and line feeds only: each starts a chunk
-            keys = text.replace("\n", " \n").split(" ")
-            keys = [keys[0], *[k if k[:1] == "\n" else " " + k for k in keys[1:]]]
-        get = self.chunks.get
-        found = list(map(get, keys))
+        else:
+            keys = text.replace(" ", "\0 ").replace("\n", "\0\n").replace(",", "\0,").replace(".", "\0.").split("\0")
+        found = list(map(self.memo.get, keys))
         if None in found:
-            if len(self.chunks) > CHUNKS:
-                self.chunks.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = ids = self.chunks.get(keys[i]) or self._pretokens(keys[i])
-                    if len(keys[i]) <= 64:
-                        self.chunks[keys[i]] = ids
+            made = self._new({k for k, ids in zip(keys, found, strict=True) if ids is None})
+            found = [made[k] if ids is None else ids for k, ids in zip(keys, found, strict=True)]
         return b"".join(found)
 
-    def _pretokens(self, text: str) -> bytes:
-        out = []
-        for word in self.pattern.findall(text):
-            ids = self.pretokens.get(word)
-            if ids is None:
-                ids = self._fragments(word.encode())
-                if len(word) <= 32:
-                    if len(self.pretokens) > PRETOKENS:
-                        self.pretokens.clear()
-                    self.pretokens[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _fragments(self, raw: bytes) -> bytes:
-        """Cut a pre-token at its forced boundaries and merge each fragment."""
-        if len(raw) == 1:
-            return self.byte_ids[raw[0]].to_bytes(4, "little")
-        codes = np.frombuffer(raw, np.uint8).astype(np.int32)
-        cuts = (np.flatnonzero(~self.inside[codes[:-1] << 8 | codes[1:]]) + 1).tolist()
-        ids: list[int] = []
-        for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True):
-            ids.extend(self._merge([self.byte_ids[c] for c in raw[a:b]]))
-        return np.array(ids, "<u4").tobytes()
-
-    def _merge(self, ids: list[int]) -> list[int]:
-        if len(ids) > 48:
-            return self._merge_long(ids)
-        merges = self.merges.get
-        while len(ids) > 1:
-            best, at, new = 1 << 60, -1, 0
-            for i in range(len(ids) - 1):
-                found = merges((ids[i], ids[i + 1]))
-                if found is not None and found[0] < best:
-                    (best, new), at = found, i
-            if at < 0:
-                break
-            ids[at : at + 2] = [new]
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same merges with a heap, for fragments of any length."""
-        n, merges = len(ids), self.merges.get
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], alive[j], after[i] = new, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if m := merges((new, ids[after[i]])):
-                    heapq.heappush(heap, (m[0], i, new, ids[after[i]], m[1]))
-            if before[i] >= 0 and (m := merges((ids[before[i]], new))):
-                heapq.heappush(heap, (m[0], before[i], ids[before[i]], new, m[1]))
-        return [x for x, k in zip(ids, alive, strict=True) if k]
+    def _new(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the memo doesn't hold."""
+        if len(self.memo) > CHUNKS:
+            self.memo = {"": b""}
+        words = {k: self.pattern.findall(k) for k in keys}
+        unknown = list({w for parts in words.values() for w in parts if w not in self.memo})
+        ids = dict(zip(unknown, self._pretokens(unknown), strict=True))
+        for word, got in ids.items():
+            if len(word) <= 64:
+                self.memo[word] = got
+        made = {}
+        for key, parts in words.items():
+            made[key] = got = ids[key] if key in ids else b"".join([ids[w] if w in ids else self.memo[w] for w in parts])
+            if len(key) <= 64:
+                self.memo[key] = got
+        return made
+
+    def _pretokens(self, words: list[str]) -> list[bytes]:
+        """Cut pre-tokens at their forced boundaries and merge each fragment."""
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        ends = np.cumsum([len(r) for r in raw])
+        joined = b"".join(raw)
+        codes = np.frombuffer(joined, np.uint8).astype(np.int32)
+        cut = np.ones(len(codes) + 1, bool)
+        cut[1:-1] = ~self.inside[codes[:-1] << 8 | codes[1:]]
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        pieces = joined.decode("latin-1").translate(self.stand_ins)
+        places = at.tolist()
+        fragments = [pieces[a:b] for a, b in zip(places, places[1:])]
+        merged = [np.array(e.ids, "<u4").tobytes() for e in self.fragments.encode_batch_fast(fragments, add_special_tokens=False)]
+        last = np.searchsorted(at, ends).tolist()  # fragments up to each word's end
+        return [merged[a] if b == a + 1 else b"".join(merged[a:b]) for a, b in zip([0, *last], last)]
 
 
 @functools.lru_cache(maxsize=2)

@@ -19,7 +19,7 @@ TEXTS = [
 
 def fuzz(n=300):
     rng = random.Random(7)
-    alphabet = list("abcdeTHE 's  \n\n..!?019-_éßñ\t　\xa0日😀")
+    alphabet = list("abcdeTHE,._\u03a3\u0130\u0301) 's  \n\n..!?019-_éßñ\t　\xa0日😀")
     return ["".join(rng.choices(alphabet, k=rng.randrange(0, 60))) for _ in range(n)]
 
 
@@ -35,7 +35,7 @@ def test_byte_bpe_equals_library():
 
 def test_forced_boundaries_hold_for_the_vocabulary():
     own = bpe.coder(bpe.vocabulary("byte_bpe_50k.json"))
-    assert own.blank_cuts
+    assert own.blank_cuts and own.stop_cuts
     assert not own.inside[ord("a") << 8 | ord(" ")] and own.inside[ord("t") << 8 | ord("h")]
 
 
