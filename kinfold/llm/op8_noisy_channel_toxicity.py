@@ -36,15 +36,11 @@ from .common import dense, fit_logistic, remainder, stored, sums, table
 
 #: Letters of the language model: boundary, a-z, and classes of other letters.
 ALPHABET = 40
-#: Hash buckets of lexicon features.
-BUCKETS = 1 << 20
-#: A lexicon entry must stand in so many toxic texts, and in this share of them.
-LEAST_TEXTS, LEAST_SHARE = 4, 0.004
+#: A lexicon entry must stand in so many toxic texts, in this share of them, and
+#: have log odds of this much; rarer features tell copies apart, not tone.
+LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 5, 0.008, 4.0
 #: Prefix lengths that stand beside whole words.
 PREFIXES = (4, 5, 6)
-#: Lexicon entries at most: the strongest stay. Each needs LEAST_SHARE of the
-#: toxic texts, so the bound holds a few hundred times what a text can show.
-LEXICON = 50_000
 #: Entries of the word memo, per Python worker.
 WORDS = 500_000
 #: Words over this length aren't searched for disguises; they are taken as they are.
@@ -57,7 +53,7 @@ LEET = {
 }
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Costs of the channel, in nats.
-SUBSTITUTE, COLLAPSE, KEEP_REPEAT, DROP, WILD = 1.0, 0.3, 2.0, 1.5, 3.5
+SUBSTITUTE, COLLAPSE, KEEP_REPEAT, DROP, WILD = 1.0, 0.3, 3.0, 7.0, 4.0
 
 _TABLE: np.ndarray | None = None
 
@@ -146,19 +142,20 @@ def restore(word: str, cost: np.ndarray) -> str:
     return min((total + float(cost[a, b, 0]), made) for (a, b), (total, made) in states.items())[1]
 
 
-def _bucket(s: str) -> int:
-    return xxhash.xxh64_intdigest(s) & (BUCKETS - 1)
+def _feature(s: str) -> int:
+    return xxhash.xxh64_intdigest(s) >> 1
 
 
 class Reader:
     """Lexicon features of texts, with disguises undone."""
 
-    def __init__(self, cost: np.ndarray):
+    def __init__(self, cost: np.ndarray, only: frozenset[int] | None = None):
         self.cost = cost
+        self.only = only  # features that matter; None: all
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def features(self, word: str) -> tuple[int, ...]:
-        """Buckets of a white-space word: itself, its prefixes, and the same for
+        """Hashes of a white-space word: itself, its prefixes, and the same for
         what it is restored to."""
         known = self.memo.get(word)
         if known is None:
@@ -168,13 +165,14 @@ class Reader:
             forms = {core.strip("!*_-~")}
             if 3 <= len(core) <= LONG and (not core.isalpha() or _repeats(core)) and any(c.isalpha() for c in core) and not _numeric(core):
                 forms.add(restore(core, self.cost))
-            known = tuple({_bucket(f) for f in forms if f} | {_bucket(f"{p}^{f[:p]}") for f in forms for p in PREFIXES if len(f) >= p})
+            made = {_feature(f) for f in forms if f} | {_feature(f"{p}^{f[:p]}") for f in forms for p in PREFIXES if len(f) >= p}
+            known = tuple(made if self.only is None else made & self.only)
             if len(word) <= LONG:
                 self.memo[word] = known
         return known
 
-    def text(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Distinct feature buckets and the number of words."""
+    def text(self, text: str | None) -> tuple[set[int], int]:
+        """Distinct features and the number of words."""
         words = (text or "").lower().split()
         found: set[int] = set()
         features = self.features
@@ -182,7 +180,7 @@ class Reader:
             found.update(features(w))
         for w in self.spaced(words):
             found.update(features(w))
-        return np.fromiter(found, np.int64, len(found)), len(words)
+        return found, len(words)
 
     def spaced(self, words: list[str]) -> Iterator[str]:
         """Words whose letters are set apart: runs of at least three one-letter
@@ -213,11 +211,11 @@ def _numeric(word: str) -> bool:
 _READER: dict[str, Reader] = {}
 
 
-def reader(key: str, cost: np.ndarray) -> Reader:
-    """One reader per Python worker and language model."""
+def reader(key: str, cost: np.ndarray, only: frozenset[int] | None = None) -> Reader:
+    """One reader per Python worker, language model and set of features."""
     if key not in _READER:
         _READER.clear()
-        _READER[key] = Reader(cost)
+        _READER[key] = Reader(cost, only)
     return _READER[key]
 
 
@@ -225,46 +223,57 @@ def reader(key: str, cost: np.ndarray) -> Reader:
 SIZE = 6
 
 
-def inputs(buckets: np.ndarray, words: int, weight: np.ndarray) -> np.ndarray:
-    w = weight[buckets]
-    hits = w[w > 0]
-    total, most = float(hits.sum()), float(hits.max()) if len(hits) else 0.0
+def inputs(found: set[int], words: int, lexicon: dict[int, float]) -> np.ndarray:
+    hits = [lexicon[h] for h in found if h in lexicon]
+    total, most = sum(hits), max(hits, default=0.0)
     return np.array([1.0, most, np.log1p(total), np.log1p(len(hits)), total / (words + 20), np.log1p(words) / 10])
 
 
-def learn_lexicon(rows: DataFrame, key: str, cost: np.ndarray) -> np.ndarray:
-    """Log odds of each feature bucket, 0 where it tells nothing.
+def _counts(rows: DataFrame, key: str, cost: np.ndarray, wanted: frozenset[int] | None, least: float) -> dict[int, np.ndarray]:
+    """In how many texts of each fold a feature stands, for features in at least
+    ``least`` texts, or for those ``wanted``. Partial counts go by feature; only
+    what passes comes to the driver."""
 
-    ``rows`` has ``text`` and ``toxic``, one row per distinct text. The first
-    pass counts the features of toxic texts; only those that enough toxic texts
-    share are counted in all others.
-    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = reader(f"{key}/{0 if wanted is None else hash(wanted)}", cost, wanted)
+        for f in frames:
+            held: tuple[list[int], list[int]] = ([], [])
+            for t, fold in zip(f["text"], f["fold"], strict=True):
+                held[int(fold)].extend(read.text(t)[0])
+            for fold in (0, 1):
+                features, n = np.unique(np.array(held[fold], np.int64), return_counts=True)
+                yield pd.DataFrame({"k": features, "n0": n * (fold == 0), "n1": n * (fold == 1)})
+
+    found = rows.select("text", "fold").mapInPandas(run, "k long, n0 long, n1 long").groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least).toPandas()
+    return {int(k): np.array([a, b]) for k, a, b in found.itertuples(index=False)}
 
-    def count(wanted: np.ndarray | None):
-        def partial(frames: Iterator[pd.DataFrame]):
-            total = np.zeros(BUCKETS + 1)
-            read = reader(key, cost)
-            for f in frames:
-                for t in f["text"]:
-                    total[read.text(t)[0]] += 1
-                    total[BUCKETS] += 1
-            at = np.flatnonzero(total if wanted is None else total * wanted)
-            yield at, total[at]
-
-        return partial
-
-    toxic = dense(sums(rows.where("toxic = 1").select("text"), count(None)), BUCKETS + 1)
-    n_toxic = toxic[BUCKETS]
-    wanted = toxic >= max(LEAST_TEXTS, LEAST_SHARE * n_toxic)
-    wanted[BUCKETS] = True
-    clean = dense(sums(rows.where("toxic = 0").select("text"), count(wanted)), BUCKETS + 1)
-    n_clean = clean[BUCKETS]
-    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-    odds[~wanted | (odds < 2)] = 0
-    odds = odds[:BUCKETS]
-    if (odds > 0).sum() > LEXICON:
-        odds[odds < np.partition(odds, -LEXICON)[-LEXICON]] = 0
-    return odds.astype(np.float32)
+
+def learn_lexicons(rows: DataFrame, key: str, cost: np.ndarray) -> tuple[dict[int, float], dict[int, float]]:
+    """Log odds of the features that tell toxic texts: from fold 0, and from all.
+
+    ``rows`` has ``text``, ``toxic`` and ``fold``, one row per distinct text. The
+    first pass counts the features of toxic texts; only those that enough toxic
+    texts share are counted in all others. At most 1 / LEAST_SHARE times the
+    features of a toxic text can pass.
+    """
+    sizes = np.zeros((2, 2))
+    for r in rows.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect():
+        sizes[r["toxic"], r["fold"]] = r["n"]
+    least = max(LEAST_TEXTS, LEAST_SHARE * sizes[1].sum())
+    toxic = _counts(rows.where("toxic = 1"), key, cost, None, least / 2)
+    clean = _counts(rows.where("toxic = 0"), key, cost, frozenset(toxic), 0)
+
+    def odds(folds: list[int]) -> dict[int, float]:
+        out = {}
+        n_toxic, n_clean = sizes[1, folds].sum(), sizes[0, folds].sum()
+        for k, n in toxic.items():
+            t, c = n[folds].sum(), clean.get(k, np.zeros(2))[folds].sum()
+            score = float(np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1)))
+            if t >= least * len(folds) / 2 and score >= LEAST_ODDS:
+                out[k] = score
+        return out
+
+    return odds([0]), odds([0, 1])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
@@ -280,38 +289,35 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if len(sizes) < 2:
-        return {"cost": cost, "key": key, "lexicon": np.zeros(BUCKETS, np.float32), "w": None, "share": float(share)}
-    lexicon = learn_lexicon(rows.where("fold = 0"), key, cost)
+        return {"cost": cost, "key": key, "lexicon": {}, "w": None, "share": float(share)}
+    honest, lexicon = learn_lexicons(rows, key, cost)
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = reader(key, cost)
+        read = reader(f"{key}/fold", cost, frozenset(honest))
         for f in frames:
-            yield pd.DataFrame({"x": [inputs(*read.text(t), lexicon) for t in f["text"]], "y": f["toxic"].astype(float), "w": 1.0})
+            yield pd.DataFrame({"x": [inputs(*read.text(t), honest) for t in f["text"]], "y": f["toxic"].astype(float), "w": 1.0})
 
     seen = stored(rows.where("fold = 1").select("text", "toxic").mapInPandas(vectors, "x array<double>, y double, w double"))
     w = fit_logistic(seen, "x", "y", "w", SIZE, l2=0.5, rounds=10)
     # The lexicon that scores is learned from all learnable rows.
-    return {"cost": cost, "key": key, "lexicon": learn_lexicon(rows, key, cost), "w": w, "share": float(share)}
+    return {"cost": cost, "key": key, "lexicon": lexicon, "w": w, "share": float(share)}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``(doc_id, score)`` of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     cost, key, lexicon, w, share = model["cost"], model["key"], model["lexicon"], model["w"], model["share"]
-    at = np.flatnonzero(lexicon)
-    small = (at, lexicon[at])  # what is sent to the executors
+    only = frozenset(lexicon)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = reader(key, cost)
-        weight = np.zeros(BUCKETS, np.float32)
-        weight[small[0]] = small[1]
+        read = reader(f"{key}/score", cost, only)
         for frame in frames:
             out = []
             for cell in frame.column(1):
                 if w is None:
                     out.append(share)
                 else:
-                    z = float(inputs(*read.text(cell.as_py()), weight) @ w)
+                    z = float(inputs(*read.text(cell.as_py()), lexicon) @ w)
                     out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 

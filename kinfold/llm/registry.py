@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module that defines ``query(spark, sf_dir)``.
 MODULES = {
     "op2_secret_scan": "op2_secret_scan",
+    "op4_co_training": "op4_co_training",
     "op5_language_id": "op5_language_id",
     "op6_minimum_bin_slack": "op6_minimum_bin_slack",
     "op7_forced_boundary_bpe": "op7_forced_boundary_bpe",
+    "op8_noisy_channel_toxicity": "op8_noisy_channel_toxicity",
     "op10_pii": "op10_pii",
 }
 
