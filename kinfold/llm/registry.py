@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module that defines ``query(spark, sf_dir)``.
 MODULES = {
+    "op1_prefix_order_join": "op1_prefix_order_join",
     "op2_secret_scan": "op2_secret_scan",
     "op4_co_training": "op4_co_training",
     "op5_language_id": "op5_language_id",
