@@ -184,3 +184,40 @@ def components(edges: DataFrame) -> DataFrame:
         mark = (seen["n"], seen["h"])
     stars = now.groupBy("a").agg(F.min("b").alias("c"))
     return stars.select(F.col("a").alias("node"), F.col("c").alias("component")).unionByName(stars.select(F.col("c").alias("node"), F.col("c").alias("component")).distinct())
+
+
+def usable(vector: str) -> F.Column:
+    """Whether an array column is a vector: not null, not empty, not zero, and
+    without null or non-finite components."""
+    v = F.col(vector)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def runs(frames: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Groups of a partition that is sorted by its first ``keys`` columns (longs),
+    one at a time; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+    for f in frames:
+        if not f.num_rows:
+            continue
+        columns = [f.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(f.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        at = [0, *np.flatnonzero(change).tolist(), f.num_rows]
+        if held and any(held[-1].column(i)[-1].as_py() != c[0] for i, c in enumerate(columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(at, at[1:]):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(f.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equally long little-endian float64 vectors."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
