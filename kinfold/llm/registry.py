@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_prefix_order_join": "op1_prefix_order_join",
     "op2_secret_scan": "op2_secret_scan",
+    "op3_balanced_postings": "op3_balanced_postings",
     "op4_co_training": "op4_co_training",
     "op5_language_id": "op5_language_id",
     "op6_minimum_bin_slack": "op6_minimum_bin_slack",
     "op7_forced_boundary_bpe": "op7_forced_boundary_bpe",
     "op8_noisy_channel_toxicity": "op8_noisy_channel_toxicity",
+    "op9_cross_polytope": "op9_cross_polytope",
     "op10_pii": "op10_pii",
 }
 
