@@ -100,6 +100,49 @@ def remainder(column: str, modulus: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def row_key() -> F.Column:
+    """A key of a document's row; rows with equal keys are repeated rows."""
+    return F.xxhash64("doc_id", "text")
+
+
+#: Slots of the membership filter below (bytes that go with the plan).
+SLOTS = 1 << 20
+
+
+def membership(keys: DataFrame, key: str) -> tuple[F.Column, F.Column]:
+    """Whether :func:`row_key` of a row can be, and can't be, among ``keys``.
+
+    A filter of fixed size: rows that can't be among the keys pass a join by, and
+    so their texts aren't shuffled. Others may be there by chance, which the
+    exact join decides; with very many keys the filter only stops saving work.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    words = keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("b")).toPandas()
+    bits = np.zeros(SLOTS // 64, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    flags = np.unpackbits(bits.view(np.uint8), bitorder="little").tobytes()
+    place = F.pmod(F.xxhash64(row_key()), F.lit(SLOTS)).cast("int") + 1
+    there = F.substring(F.lit(flags), place, F.lit(1)) == F.lit(b"\x01")
+    return there, ~there
+
+
+def keep_rows(docs: DataFrame, judge) -> DataFrame:
+    """The rows of ``docs`` for which ``judge`` says so, with all their columns.
+
+    ``judge()`` is called once per task and gives a function from an Arrow batch
+    to a list of booleans. Texts stay where they are: no shuffle.
+    """
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = judge()
+        for f in frames:
+            kept = f.filter(pa.array(decide(f), pa.bool_()))
+            if kept.num_rows:
+                yield kept
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sums(df: DataFrame, partial, columns: str = "k long, v double") -> dict[int, float]:
     """Sum sparse vectors over all partitions.
 

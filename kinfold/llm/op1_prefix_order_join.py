@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, components, stored, table
+from .common import batches, components, membership, row_key, stored, table
 
 #: Sets up to this size take part with all their tokens.
 SHORT = 64
@@ -116,28 +116,28 @@ def _third(tokens: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(doc_id, n, key, slack, q)`` of every row: set size, class key, posted
-    length less prefix length, and the l-prefix."""
+    """``(doc_id, row, n, key, slack, q)`` of every row: its key, set size, class
+    key, posted length less prefix length, and the l-prefix."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     limit = Threshold(percent)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            schema = pa.schema([f.schema.field(0).with_name("doc_id"), ("n", pa.int64()), ("key", pa.int64()), ("slack", pa.int32()), ("q", pa.list_(pa.int64()))])
+            schema = pa.schema([f.schema.field(0).with_name("doc_id"), ("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("slack", pa.int32()), ("q", pa.list_(pa.int64()))])
 
             def rows(f=f):
-                for k, t in zip(f.column(0), f.column(1), strict=True):
+                for k, t, row in zip(f.column(0), f.column(1), f.column(2).to_pylist(), strict=True):
                     s = shingles(t.as_py(), words)
                     n = len(s)
                     if not n:
-                        yield k.as_py(), 0, None, 0, []
+                        yield k.as_py(), row, 0, None, 0, []
                     else:
                         m = limit.prefix(n)
-                        yield k.as_py(), n, xxhash.xxh64_intdigest(s.tobytes()) >> 1, limit.posted(n) - m, s[:m]
+                        yield k.as_py(), row, n, xxhash.xxh64_intdigest(s.tobytes()) >> 1, limit.posted(n) - m, s[:m]
 
             yield from batches(rows(), schema, 1024)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, key long, slack int, q array<long>")
+    return docs.select("doc_id", "text", row_key().alias("row")).mapInArrow(run, f"doc_id {kind}, row long, n long, key long, slack int, q array<long>")
 
 
 def _slot(ids: F.Column) -> F.Column:
@@ -253,7 +253,7 @@ def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataF
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``(doc_id, n_shingles, class_key, component_id)`` of every row of ``docs``.
+    """``(doc_id, row, n_shingles, class_key, component_id)`` of every row of ``docs``.
 
     ``component_id`` is the smallest id that can be reached by links of pairs
     whose Jaccard similarity is at least ``percent`` in a hundred.
@@ -264,8 +264,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = reps.join(joined, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("g"))
     least = named.groupBy("g").agg(F.min("rep").alias("least"))
     named = named.join(least, "g").select("key", "least")
-    out = signed.select("doc_id", "n", "key").join(named, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.coalesce("least", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "row", "n", "key").join(named, "key", "left")
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one with
+    the smallest id (of repeated rows with that id, one). Documents without words,
+    and groups without any id, stay.
+    """
+    each = stored(near_duplicates(docs, words, percent).where("n_shingles > 0 and component_id is not null").select("doc_id", "row", "component_id"))
+    stays = each.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("stays"))
+    rows = each.groupBy("row").agg(F.count("*").alias("times")).join(stays, "row", "left")
+    rows = stored(rows.where("stays is null or times > 1").select(F.col("row").alias("_row"), F.coalesce("stays", F.lit(False)).alias("_stays")))
+    there, absent = membership(rows, "_row")
+    hit = docs.where(there).withColumn("_row", row_key()).join(rows, "_row", "left")
+    twice = hit.where("_stays").dropDuplicates(["_row"])
+    return docs.where(absent).unionByName(hit.where("_stays is null").select(*docs.columns)).unionByName(twice.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ one row.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dense, fit_logistic, stored, sums, table
+from .common import fit_logistic, keep_rows, stored, table
 
 #: Rounds of exchanging pseudo-labels.
 ROUNDS = 2
@@ -87,10 +89,7 @@ def content_view(text: str) -> np.ndarray:
         distinct = set(words)
         same = sum(map(str.__eq__, words, words[1:]))
         low = text.lower().split() if n < 400 else [w.lower() for w in words[:: n // 200]]
-        counted = {}
-        for w in words:
-            counted[w] = counted.get(w, 0) + 1
-        most = max(counted.values()) / n
+        most = max(Counter(words).values()) / n
         ends = sum(not w[-1].isalnum() for w in words) / n
         starts = sum(w[0].isupper() for w in words) / n
         out[at : at + 12] = [
@@ -133,8 +132,6 @@ def metadata_view(text: str, source: str | None, lang: str | None, n_chars: int
 
 
 def _cell(name: str | None, cells: int) -> int:
-    import zlib
-
     return zlib.crc32((name or "").encode("utf-8", "surrogatepass")) % cells
 
 
@@ -200,6 +197,26 @@ def score(table_of_views: DataFrame, model: dict) -> DataFrame:
     return table_of_views.select("doc_id", p.alias("score")).withColumn("keep", F.col("score") >= 0.5)
 
 
+def keep_good(docs: DataFrame, model: dict) -> DataFrame:
+    """The documents that the model keeps, with all their columns."""
+
+    def judge():
+        def decide(f: pa.RecordBatch) -> list[bool]:
+            if "constant" in model:
+                return [model["constant"] >= 0.5] * f.num_rows
+            given = [f.column(c).to_pylist() if c in f.schema.names else [None] * f.num_rows for c in ("text", "source", "lang", "n_chars")]
+            c = model["combine"]
+            out = []
+            for t, s, g, n in zip(*given, strict=True):
+                z = c[0] + content_view(t or "") @ model["content"] / 4 * c[1] + metadata_view(t or "", s, g, n) @ model["metadata"] / 4 * c[2]
+                out.append(bool(z >= 0))
+            return out
+
+        return decide
+
+    return keep_rows(docs, judge)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, score, keep)`` of every row of ``docs``, co-trained on them."""
     seen = stored(views(docs))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dense, fit_logistic, remainder, stored, sums, table
+from .common import dense, fit_logistic, keep_rows, remainder, stored, sums, table
 
 #: Letters of the language model: boundary, a-z, and classes of other letters.
 ALPHABET = 40
@@ -303,27 +303,42 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     return {"cost": cost, "key": key, "lexicon": lexicon, "w": w, "share": float(share)}
 
 
+def _scorer(model: dict):
+    """A function from a text to its score, for one task."""
+    cost, key, lexicon, w, share = model["cost"], model["key"], model["lexicon"], model["w"], model["share"]
+    if w is None:
+        return lambda text: share
+    read = reader(f"{key}/score", cost, frozenset(lexicon))
+
+    def score_of(text: str | None) -> float:
+        z = float(inputs(*read.text(text), lexicon) @ w)
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    return score_of
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``(doc_id, score)`` of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cost, key, lexicon, w, share = model["cost"], model["key"], model["lexicon"], model["w"], model["share"]
-    only = frozenset(lexicon)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = reader(f"{key}/score", cost, only)
-        for frame in frames:
-            out = []
-            for cell in frame.column(1):
-                if w is None:
-                    out.append(share)
-                else:
-                    z = float(inputs(*read.text(cell.as_py()), lexicon) @ w)
-                    out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+        of = _scorer(model)
+        for f in frames:
+            yield pa.RecordBatch.from_arrays([f.column(0), pa.array([of(t.as_py()) for t in f.column(1)], pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def keep_clean(docs: DataFrame, model: dict) -> DataFrame:
+    """The documents that score below 0.5, with all their columns."""
+
+    def judge():
+        of = _scorer(model)
+        return lambda f: [of(t.as_py()) < 0.5 for t in f.column("text")]
+
+    return keep_rows(docs, judge)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, train(docs, table(spark, sf_dir, "labels")))
