@@ -12,7 +12,7 @@
    finds gives the score.
 
 Labels are learned only from rows whose crc32(doc_id) modulo 5 is known and not
-0, a hash of the text deciding whether a row serves the lexicon or the
+0, at most TRAIN_ROWS of them, a hash of the text deciding whether a row serves the lexicon or the
 regression, so that the regression sees honest lexicon hits. Labels, lang, source
 and doc_id are no inputs of a score.
 
@@ -39,6 +39,8 @@ ALPHABET = 40
 #: A lexicon entry must stand in so many toxic texts, in this share of them, and
 #: have log odds of this much; rarer features tell copies apart, not tone.
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 5, 0.008, 4.0
+#: Bound of the sample of labelled rows that lexicon and regression are fitted on.
+TRAIN_ROWS = 20_000
 #: Prefix lengths that stand beside whole words.
 PREFIXES = (4, 5, 6)
 #: Entries of the word memo, per Python worker.
@@ -276,16 +278,33 @@ def learn_lexicons(rows: DataFrame, key: str, cost: np.ndarray) -> tuple[dict[in
     return odds([0]), odds([0, 1])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model: language model of all ``docs``, lexicon and regression of the
-    labelled ones that may be learned from."""
+def _labelled(docs: DataFrame, toxic: dict) -> DataFrame:
+    """``(text, toxic)`` of the rows whose id is in ``toxic``: the bounded sample
+    of labels goes to the texts, so no text is shuffled for it."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            found = [toxic.get(k) for k in f.column(0).to_pylist()]
+            keep = pa.array([k is not None for k in found])
+            part = f.filter(keep)
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([k for k in found if k is not None], pa.int32())], names=["text", "toxic"])
+
+    return docs.where(remainder("doc_id", 5) != 0).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "text string, toxic int")
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
+    """The model: language model of all ``docs``, lexicon and regression of a
+    sample of at most ``train_rows`` labels that may be learned from."""
     counts = count_trigrams(docs)
     cost = costs_of(counts)
     key = xxhash.xxh64_hexdigest(cost.tobytes())
-    known = labels.where((remainder("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.where(remainder("doc_id", 5) != 0).select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    known = labels.where((remainder("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sample = known.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(train_rows).collect()  # at most train_rows pairs
+    rows = _labelled(docs, {r["doc_id"]: r["toxic"] for r in sample})
     # One row per distinct text: copies teach nothing new. A text with both labels counts as toxic.
-    rows = stored(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2))))
+    rows = rows.groupBy(F.xxhash64("text").alias("fold")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = stored(rows.select("text", "toxic", F.pmod("fold", F.lit(2)).alias("fold")))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if len(sizes) < 2:
