@@ -1,14 +1,10 @@
 """Shared plumbing of the training-data operators.
 
-Nothing here keeps state between calls apart from two things that are safe to
-lose: the session's checkpoint folder, and the scratch tables written below it.
+Nothing here keeps state between calls.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.operators.graph import components
+from kinfold.sources.scratch import cut, release, shared_dir, stored
+
+__all__ = ["batches", "components", "cut", "dense", "fit_logistic", "keep_rows", "matrix", "membership", "release", "remainder", "row_key", "runs", "shared_dir", "stored", "sums", "table", "usable"]
+
 #: Rows of one Arrow batch handed back by the operators below; texts can be long.
 OUT_ROWS = 256
 
@@ -26,58 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset
-    (tests, ``local[n]``) is a temporary folder made and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not found:
-        current = context._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if not found:
-        if not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="kinfold-checkpoint-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder (small tables)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-_SCRATCH: list[tuple[SparkSession, str]] = []
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again (larger
-    tables: columnar, compressed, column-pruned)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinfold-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _SCRATCH.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def release() -> None:
-    """Delete the scratch tables of this process. Call it once results are written."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended already
-            return
-
-
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most ``size`` rows from tuples."""
     held: list[tuple] = []
@@ -203,32 +152,6 @@ def fit_logistic(rows: DataFrame, x: str, y: str, weight: str, size: int, l2: fl
     return w
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the edges ``(a long, b long)``.
-
-    Alternating large-star and small-star steps: every step is a grouped minimum
-    and a join, so a vertex with very many edges is pre-aggregated and its join
-    partition can be split; nothing is gathered per component. Returns
-    ``(node, component)`` for the nodes that have edges; the component is its
-    smallest node. No edges give no rows.
-    """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == mark:
-            break
-        mark = (seen["n"], seen["h"])
-    stars = now.groupBy("a").agg(F.min("b").alias("c"))
-    return stars.select(F.col("a").alias("node"), F.col("c").alias("component")).unionByName(stars.select(F.col("c").alias("node"), F.col("c").alias("component")).distinct())
-
-
 def usable(vector: str) -> F.Column:
     """Whether an array column is a vector: not null, not empty, not zero, and
     without null or non-finite components."""

@@ -18,7 +18,8 @@ compared with one hub of the list, the linked ones are joined into components,
 and only pairs that stand in different components are looked at again. A group of
 thousands of near copies so costs about one comparison for each member, and no
 pair that could join two components is left out. What is verified is the exact
-similarity of whole sets.
+similarity of whole sets, and before sets are sent anywhere, parity bitmaps refute
+most pairs that are not alike enough.
 
 Defined cases: null, empty and blank texts have no shingles and stand alone; a
 text with fewer words than a shingle is one shingle; copies and repeated rows are
@@ -45,6 +46,8 @@ SHARED = 0.10
 HUB_ROUNDS = 2
 #: Entries of the memo of words, per Python worker.
 WORDS = 700_000
+#: 64-bit words of a set's parity bitmap.
+PARITY = 16
 #: Bits of the filter that spares most texts the second reading (1 MiB).
 FILTER_BITS = 1 << 23
 
@@ -115,6 +118,28 @@ def _third(tokens: np.ndarray) -> np.ndarray:
     return np.argsort(_mix(tokens.astype(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)), kind="stable")
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of 64 * PARITY bits, each the parity of the tokens that fall on it.
+
+    Two bitmaps differ in at most as many bits as the sets have tokens that the
+    other lacks, so a pair whose bitmaps differ in more than a linked pair can is
+    refuted for certain.
+    """
+    counts = np.bincount((tokens >> 7) % (64 * PARITY), minlength=64 * PARITY)
+    return np.packbits(counts & 1 == 1, bitorder="little").view("<i8")
+
+
+def _words(prefix: str) -> list[str]:
+    return [f"{prefix}{i}" for i in range(PARITY)]
+
+
+def _alike(a: str, na: str, b: str, nb: str, percent: int) -> F.Column:
+    """Whether sizes and parity bitmaps leave it open that a pair is linked."""
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_words(a), _words(b))), F.lit(0))
+    fits = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    return fits & (differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent))
+
+
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``(doc_id, row, n, key, slack, q)`` of every row: its key, set size, class
     key, posted length less prefix length, and the l-prefix."""
@@ -145,8 +170,9 @@ def _slot(ids: F.Column) -> F.Column:
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(key, n, s, o)`` of the classes in ``classes (key, rep)``: the whole set
-    and the posted prefix in the third order, from a second reading of the texts.
+    """``(key, n, s, o, w0...)`` of the classes in ``classes (key, rep)``: the whole
+    set, the posted prefix in the third order and the parity bitmap, from a second
+    reading of the texts.
 
     A filter of fixed size on the ids spares texts that can't be among them; a
     text that passes by chance is left out by the join on the class key.
@@ -161,7 +187,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
-        schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("s", pa.binary()), ("o", pa.list_(pa.int64()))])
+        schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("s", pa.binary()), ("o", pa.list_(pa.int64())), *((w, pa.int64()) for w in _words("w"))])
         for f in frames:
 
             def rows(f=f):
@@ -170,20 +196,22 @@ def whole_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
                         s = shingles(t.as_py(), words)
                         if len(s):
                             q = s[: limit.prefix(len(s))]
-                            yield xxhash.xxh64_intdigest(s.tobytes()) >> 1, len(s), s.tobytes(), q[_third(q)][: limit.posted(len(s))]
+                            yield xxhash.xxh64_intdigest(s.tobytes()) >> 1, len(s), s.tobytes(), q[_third(q)][: limit.posted(len(s))], *parity(s).tolist()
 
             yield from batches(rows(), schema, 256)
 
-    found = docs.select(F.when(F.col("doc_id").isNotNull(), _slot(F.col("doc_id"))).alias("slot"), "text").mapInArrow(run, "key long, n long, s binary, o array<long>")
+    found = docs.select(F.when(F.col("doc_id").isNotNull(), _slot(F.col("doc_id"))).alias("slot"), "text").mapInArrow(run, "key long, n long, s binary, o array<long>, " + ", ".join(f"{w} long" for w in _words("w")))
     found = found.join(classes.select("key"), "key", "left_semi")
-    return found.groupBy("key").agg(F.first("n").alias("n"), F.first("s").alias("s"), F.first("o").alias("o"))
+    return found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "s", "o", *_words("w"))])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets reach the threshold."""
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("o").alias("oa"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("o").alias("ob"))
-    both = pairs.join(right, "b").join(left, "a").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & F.arrays_overlap("oa", "ob")).select("a", "b", "sa", "sb")
+    third = sets.select("key", "o")
+    open_ = pairs.join(third.withColumnRenamed("o", "oa"), F.col("a") == F.col("key")).drop("key").join(third.withColumnRenamed("o", "ob"), F.col("b") == F.col("key"))
+    open_ = open_.where(F.arrays_overlap("oa", "ob")).select("a", "b")
+    whole = sets.select("key", "s")
+    both = open_.join(whole.withColumnRenamed("s", "sb"), F.col("b") == F.col("key")).drop("key").join(whole.withColumnRenamed("s", "sa"), F.col("a") == F.col("key")).select("a", "b", "sa", "sb")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
@@ -207,7 +235,7 @@ def postings(signed: DataFrame) -> DataFrame:
     found = each.join(common, "tok").groupBy("key", "tok").agg(F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("c").alias("c"))
     of_class = Window.partitionBy("key")
     found = found.withColumn("size", F.count("*").over(of_class)).withColumn("rank", F.row_number().over(of_class.orderBy("c", "tok")))
-    found = found.where(F.col("rank") <= F.col("slack") + F.col("size")).select("tok", "key", "n")
+    found = stored(found.where(F.col("rank") <= F.col("slack") + F.col("size")).select("tok", "key", "n"))
     # A token that only one class posts after the filter makes no pair.
     shared = found.groupBy("tok").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("tok")
     return found.join(shared, "tok", "left_semi")
@@ -222,18 +250,20 @@ def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataF
     posted = stored(postings(signed))
     reps = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     sets = stored(whole_sets(docs, reps.join(posted.select("key").distinct(), "key", "left_semi"), words, percent))
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     edges = seen = joined = None
-    left = posted.withColumn("c", F.col("key"))
+    narrow = sets.select("key", *_words("w"))
+    left = posted.join(narrow, "key").withColumn("c", F.col("key"))
     for turn in range(HUB_ROUNDS + 1):
         if turn < HUB_ROUNDS:
             hub = left.groupBy("tok").agg(F.min(F.struct("key", "n", "c")).alias("h")).select("tok", F.col("h.key").alias("hub"), F.col("h.n").alias("m"), F.col("h.c").alias("hc"))
+            hub = hub.join(narrow.select(F.col("key").alias("hub"), *[F.col(w).alias(v) for w, v in zip(_words("w"), _words("v"))]), "hub")
             against = left.join(hub, "tok").where("key <> hub")
-            pairs = against.where(fits & (F.col("c") != F.col("hc"))).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-            left = against.select("tok", "key", "n", "c")  # the hub is done in its lists
+            pairs = against.where((F.col("c") != F.col("hc")) & _alike("w", "n", "v", "m", percent)).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+            left = against.select("tok", "key", "n", "c", *_words("w"))  # the hub is done in its lists
         else:
-            other = left.select("tok", F.col("key").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = left.withColumnRenamed("key", "a").join(other, "tok").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & fits).select("a", "b").distinct()
+            other = left.select("tok", F.col("key").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), *[F.col(w).alias(v) for w, v in zip(_words("w"), _words("v"))])
+            met = left.withColumnRenamed("key", "a").join(other, (left["tok"] == other["tok"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _alike("w", "n", "v", "m", percent))
+            pairs = met.select("a", "b").distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = stored(pairs)

@@ -85,3 +85,12 @@ def test_prefix_lengths_are_safe():
             for k in range(limit.overlap(n), n + 1):
                 least = min(limit.shared(n), limit.shared(k))
                 assert limit.prefix(n) - limit.posted(n) + 1 <= least and limit.prefix(k) - limit.posted(k) + 1 <= least
+
+
+def test_parity_never_refutes_a_linked_pair():
+    rng = random.Random(0)
+    for _ in range(300):
+        a = {rng.getrandbits(60) for _ in range(rng.randrange(1, 400))}
+        b = set(list(a)[: rng.randrange(1, len(a) + 1)]) | {rng.getrandbits(60) for _ in range(rng.randrange(0, 30))}
+        x, y = (op.parity(op.np.array(sorted(s), op.np.int64)) for s in (a, b))
+        assert sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y) <= len(a ^ b)
