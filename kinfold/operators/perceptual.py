@@ -21,9 +21,16 @@ BITS = {"DifferenceHash": 64, "PerceptualHash": 64, "BlockMeanHash": 961}
 
 def byte_image(content: str | Column, pixels: int) -> Column:
     """Any content as an image: the pixel i is the byte at i * length / pixels."""
-    raw = F.hex(content)
-    size = F.length(content)
-    return F.transform(F.sequence(F.lit(0), F.lit(pixels - 1)), lambda i: F.conv(F.substr(raw, (F.floor(i.cast("long") * size / pixels) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    raw = F.col(content) if isinstance(content, str) else content
+    size = F.length(raw)
+    return F.transform(F.sequence(F.lit(0), F.lit(pixels - 1)), lambda i: F.conv(F.hex(F.substr(raw, (F.floor(i.cast("long") * size / pixels) + 1).cast("int"), F.lit(1))), 16, 10).cast("int"))
+
+
+def once(value: Column) -> Column:
+    """A value that later expressions read, not compute again: without this, the
+    optimizer would put the whole expression wherever the column is used, inside
+    lambdas too."""
+    return F.explode(F.array(value))
 
 
 def difference_bits(pixels: str | Column, textbook: bool = False) -> Column:

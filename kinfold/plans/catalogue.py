@@ -50,12 +50,16 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), pack(signs("embedding")).alias("hash"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), perceptual.once(pack(signs("embedding"))).alias("hash"))
 
 
 def texts_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files(spark, sf_dir).where("size > 0")
-    return rows.select("doc_id", "path", "size", "content", perceptual.byte_image("content", 72).alias("pixels"))
+    rows = files(spark, sf_dir).where("size > 0").select("doc_id", "path", "size", perceptual.once(F.col("content")).alias("content"))
+    return rows.select("doc_id", "path", "size", "content", perceptual.once(perceptual.byte_image("content", 72)).alias("pixels"))
+
+
+def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts_hashed(spark, sf_dir).select(F.col("doc_id").alias("id"), perceptual.once(pack(perceptual.difference_bits("pixels"))).alias("hash"))
 
 
 _FILES = """files AS (SELECT doc_id, source || '/' || doc_id::varchar || '.' || lang AS path, '.' || lang AS ext, octet_length(encode(text)) AS size, encode(text) AS content FROM documents)"""
@@ -175,8 +179,9 @@ def neighbour_anti_join(spark, sf_dir):
     return similarity.not_cached(edges, edges.where("src % 2 = 0 and score >= 28"))
 
 
-_PIXELS = "SELECT doc_id, i, ('0x' || substr(hex(encode(text)), 2 * ((i * octet_length(encode(text))) // {n}) + 1, 2))::int AS p FROM documents, range({n}) t(i) WHERE octet_length(encode(text)) > 0"
-_DIFFERENCE = "px AS (" + _PIXELS.format(n=72) + "), dhash AS (SELECT doc_id, string_agg(CASE WHEN p < q THEN '1' ELSE '0' END, '' ORDER BY i) AS bits FROM (SELECT doc_id, i, p, lead(p) OVER (PARTITION BY doc_id ORDER BY i) AS q FROM px) WHERE i < 64 GROUP BY doc_id)"
+_RAW = "raw AS MATERIALIZED (SELECT doc_id, n, list_transform(regexp_extract_all(x, '..'), lambda h: ('0x' || h)::int) AS b FROM (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) > 0)), "
+_PIXELS = "SELECT doc_id, unnest(range({n})) AS i, unnest(list_transform(range({n}), lambda i: b[(i * n) // {n} + 1])) AS p FROM raw"
+_DIFFERENCE = _RAW + "px AS (" + _PIXELS.format(n=72) + "), dhash AS (SELECT doc_id, string_agg(CASE WHEN p < q THEN '1' ELSE '0' END, '' ORDER BY i) AS bits FROM (SELECT doc_id, i, p, lead(p) OVER (PARTITION BY doc_id ORDER BY i) AS q FROM px) WHERE i < 64 GROUP BY doc_id)"
 
 
 @query("WITH " + _DIFFERENCE + " SELECT doc_id, bits FROM dhash")
@@ -187,7 +192,7 @@ def difference_hash(spark, sf_dir):
 
 @query("WITH " + _DIFFERENCE + " SELECT a.doc_id AS src, b.doc_id AS dst, hamming(a.bits, b.bits) AS distance FROM dhash a JOIN dhash b ON a.doc_id < b.doc_id WHERE hamming(a.bits, b.bits) <= 3")
 def difference_hash_near_pairs(spark, sf_dir):
-    rows = texts_hashed(spark, sf_dir).select(F.col("doc_id").alias("id"), pack(perceptual.difference_bits("pixels")).alias("hash"))
+    rows = text_hashes(spark, sf_dir)
     return similarity.pairs_within(rows, 3)
 
 
@@ -195,18 +200,22 @@ _BASIS = "(cos((2 * {i} + 1) * k * pi() / 64) * CASE WHEN k = 0 THEN 0.125 ELSE
 
 
 @query(
-    "WITH px AS ("
+    "WITH "
+    + _RAW
+    + "px AS ("
     + _PIXELS.format(n=1024)
     + "), across AS (SELECT doc_id, i // 32 AS y, k, sum(p * "
     + _BASIS.format(i="(i % 32)")
-    + ") AS s FROM px, range(8) t(k) GROUP BY doc_id, y, k), low AS (SELECT doc_id, k, across.k AS h, v.k AS w, 0 AS z, sum(s * (cos((2 * y + 1) * v.k * pi() / 64) * CASE WHEN v.k = 0 THEN 0.125 ELSE sqrt(2.0) / 8 END)) AS c FROM across, range(8) v(k) GROUP BY doc_id, across.k, v.k), flat AS (SELECT doc_id, w * 8 + h AS at, CASE WHEN w = 0 AND h = 0 THEN 0.0 ELSE c END AS c FROM low) SELECT doc_id, string_agg(CASE WHEN c > m THEN '1' ELSE '0' END, '' ORDER BY at) AS bits FROM (SELECT *, avg(c) OVER (PARTITION BY doc_id) AS m FROM flat) GROUP BY doc_id"
+    + ") AS s FROM px, range(8) t(k) GROUP BY doc_id, y, k), low AS (SELECT doc_id, across.k AS h, v.k AS w, 0 AS z, sum(s * (cos((2 * y + 1) * v.k * pi() / 64) * CASE WHEN v.k = 0 THEN 0.125 ELSE sqrt(2.0) / 8 END)) AS c FROM across, range(8) v(k) GROUP BY doc_id, across.k, v.k), flat AS (SELECT doc_id, w * 8 + h AS place, CASE WHEN w = 0 AND h = 0 THEN 0.0 ELSE c END AS c FROM low) SELECT doc_id, string_agg(CASE WHEN c > m THEN '1' ELSE '0' END, '' ORDER BY place) AS bits FROM (SELECT *, avg(c) OVER (PARTITION BY doc_id) AS m FROM flat) GROUP BY doc_id"
 )
 def perceptual_hash(spark, sf_dir):
     return perceptual.hashed(files(spark, sf_dir).where("size > 0"), "PerceptualHash", "doc_id")
 
 
 @query(
-    "WITH px AS ("
+    "WITH "
+    + _RAW
+    + "px AS ("
     + _PIXELS.format(n=65536)
     + """), cells AS (SELECT doc_id, (i // 256) // 8 AS y, (i % 256) // 8 AS x, sum(p) AS s FROM px GROUP BY doc_id, y, x),
  blocks AS (SELECT doc_id, y - dy AS y, x - dx AS x, sum(s) AS s FROM cells, range(2) a(dy), range(2) b(dx) WHERE y - dy BETWEEN 0 AND 29 AND x - dx BETWEEN 0 AND 29 GROUP BY doc_id, y - dy, x - dx),
@@ -219,7 +228,7 @@ def block_mean_hash(spark, sf_dir):
 
 @query("WITH " + _DIFFERENCE + " SELECT d.doc_id AS id, c.bits IS NOT NULL AS hit, hamming(d.bits, c.bits) AS distance FROM dhash d LEFT JOIN (SELECT * FROM dhash WHERE doc_id % 2 = 0) c USING (doc_id)")
 def cache_probe_left_join(spark, sf_dir):
-    rows = texts_hashed(spark, sf_dir).select(F.col("doc_id").alias("id"), pack(perceptual.difference_bits("pixels")).alias("hash"))
+    rows = text_hashes(spark, sf_dir)
     return probe(rows, rows.where("id % 2 = 0")).select("id", "hit", hamming("hash", "cached_hash").alias("distance"))
 
 

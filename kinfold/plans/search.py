@@ -30,7 +30,7 @@ def similar_images(images: DataFrame, p: SearchParameters, cache: HashCache | No
     readable, _ = predicates.split_readable(predicates.select_files(images, p))
     keyed = readable.withColumn("id", F.xxhash64(F.sha2("content", 256)))
     groups = keyed.groupBy("id").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.first("pixels").alias("pixels"))
-    hashes = groups.select("id", pack(perceptual.difference_bits("pixels")).alias("hash"))
+    hashes = groups.select("id", perceptual.once(pack(perceptual.difference_bits("pixels"))).alias("hash"))
     if cache:
         known = probe(hashes, cache.hashes("DifferenceHash"))
         new = known.where(~F.col("hit")).select("id", "hash")
