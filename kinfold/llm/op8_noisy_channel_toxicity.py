@@ -300,7 +300,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
     cost = costs_of(counts)
     key = xxhash.xxh64_hexdigest(cost.tobytes())
     known = labels.where((remainder("doc_id", 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(train_rows).collect()  # at most train_rows pairs
+    # Thinned by a hash first: what is collected is bounded, and no task sorts all labels.
+    chance = min(1.0, 1.1 * train_rows / max(1, known.count()))
+    spread = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000))
+    sample = known.where(spread < int(chance * 1_000_000) + 1).select("doc_id", "toxic", spread.alias("spread")).collect()
+    sample = sorted(sample, key=lambda r: (r["spread"], r["doc_id"]))[:train_rows]
     rows = _labelled(docs, {r["doc_id"]: r["toxic"] for r in sample})
     # One row per distinct text: copies teach nothing new. A text with both labels counts as toxic.
     rows = rows.groupBy(F.xxhash64("text").alias("fold")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
