@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,14 +50,29 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes the scratch tables that are made inside, at the end. Only for code
+    whose results no longer read them: what it returns must be computed by then."""
+    before = len(_SCRATCH)
+    yield
+    release(_SCRATCH[before:])
+
+
 @atexit.register
-def release() -> None:
-    """Delete the scratch tables of this process. Call it once results are written."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
+def release(tables: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete scratch tables: those given, or all of this process."""
+    for found in list(_SCRATCH if tables is None else tables):
+        spark, path = found
+        _SCRATCH.remove(found)
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session has ended already
             return
+
+
+def made() -> list[tuple[SparkSession, str]]:
+    """The scratch tables that there are now."""
+    return list(_SCRATCH)
