@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators.graph import components
-from kinfold.sources.scratch import cut, release, shared_dir, stored
+from kinfold.sources.scratch import cut, made, release, shared_dir, stored, temporary
 
-__all__ = ["batches", "components", "cut", "dense", "fit_logistic", "keep_rows", "matrix", "membership", "release", "remainder", "row_key", "runs", "shared_dir", "stored", "sums", "table", "usable"]
+__all__ = ["batches", "components", "cut", "dense", "fit_logistic", "keep_rows", "made", "matrix", "membership", "release", "remainder", "row_key", "runs", "shared_dir", "stored", "sums", "table", "temporary", "usable"]
 
 #: Rows of one Arrow batch handed back by the operators below; texts can be long.
 OUT_ROWS = 256

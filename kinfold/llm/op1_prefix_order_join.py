@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, components, membership, row_key, stored, table
+from .common import batches, components, membership, row_key, stored, table, temporary
 
 #: Sets up to this size take part with all their tokens.
 SHORT = 64
@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     whose Jaccard similarity is at least ``percent`` in a hundred.
     """
     signed = stored(signatures(docs, words, percent))
-    joined = links(docs, signed, words, percent)
+    with temporary():  # the components are computed when they are returned
+        joined = links(docs, signed, words, percent)
     reps = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     named = reps.join(joined, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("g"))
     least = named.groupBy("g").agg(F.min("rep").alias("least"))
