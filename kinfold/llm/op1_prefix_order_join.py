@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, components, membership, row_key, stored, table, temporary
+from .common import batches, components, membership, row_key, runs, stored, table, temporary
 
 #: Sets up to this size take part with all their tokens.
 SHORT = 64
@@ -44,6 +44,8 @@ SHORT = 64
 SHARED = 0.10
 #: Rounds with one hub for each posting list, before the pairs left are listed.
 HUB_ROUNDS = 2
+#: Rows of a block of a posting list, about; a task holds two.
+BLOCK = 1024
 #: Entries of the memo of words, per Python worker.
 WORDS = 700_000
 #: 64-bit words of a set's parity bitmap.
@@ -241,6 +243,39 @@ def postings(signed: DataFrame) -> DataFrame:
     return found.join(shared, "tok", "left_semi")
 
 
+def listed(left: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of different components that meet in a posting list of
+    ``left (tok, key, n, c, w0...)`` and that sizes and parity bitmaps leave open.
+
+    Long lists are cut into blocks and tasks take pairs of blocks, so no task
+    holds a whole list; refuted pairs are never rows.
+    """
+    sizes = left.groupBy("tok").agg(F.count("*").alias("size")).select("tok", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    rows = left.join(sizes, "tok").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("tok", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "n", "c", *_words("w"))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in runs(frames, 3):
+            block, key, n, c = (g[x].to_numpy() for x in ("block", "key", "n", "c"))
+            w = np.stack([g[x].to_numpy() for x in _words("w")], 1).view(np.uint64)
+            i, j = int(g["i"][0].as_py()), int(g["j"][0].as_py())
+            x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            for start in range(0, len(x), 128):
+                p = x[start : start + 128]
+                differ = np.bitwise_count(w[p][:, None] ^ w[y][None]).sum(2, dtype=np.int64)
+                m, o = n[p][:, None], n[y][None]
+                keep = (np.minimum(m, o) * 100 >= np.maximum(m, o) * percent) & (differ * (100 + percent) <= (m + o) * (100 - percent)) & (c[p][:, None] != c[y][None])
+                if i == j:
+                    keep &= key[p][:, None] < key[y][None]
+                r, q = np.nonzero(keep)
+                if len(r):
+                    first, second = key[p][r], key[y][q]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second))], names=["a", "b"])
+
+    return rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
     """``(node, component)`` over class keys: classes that are linked, by hubs.
 
@@ -261,9 +296,7 @@ def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataF
             pairs = against.where((F.col("c") != F.col("hc")) & _alike("w", "n", "v", "m", percent)).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
             left = against.select("tok", "key", "n", "c", *_words("w"))  # the hub is done in its lists
         else:
-            other = left.select("tok", F.col("key").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), *[F.col(w).alias(v) for w, v in zip(_words("w"), _words("v"))])
-            met = left.withColumnRenamed("key", "a").join(other, (left["tok"] == other["tok"]) & (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _alike("w", "n", "v", "m", percent))
-            pairs = met.select("a", "b").distinct()
+            pairs = listed(left, percent)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = stored(pairs)
