@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kinfold.operators.graph import components
 from kinfold.sources.scratch import cut, made, release, shared_dir, stored, temporary
 
-__all__ = ["batches", "components", "cut", "dense", "fit_logistic", "keep_rows", "made", "matrix", "membership", "release", "remainder", "row_key", "runs", "shared_dir", "stored", "sums", "table", "temporary", "usable"]
+__all__ = ["batches", "components", "cut", "dense", "fit_logistic", "keep_rows", "made", "matrix", "release", "remainder", "row_key", "runs", "shared_dir", "stored", "sums", "table", "temporary", "usable"]
 
 #: Rows of one Arrow batch handed back by the operators below; texts can be long.
 OUT_ROWS = 256
@@ -54,27 +54,6 @@ def row_key() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
 
-#: Slots of the membership filter below (bytes that go with the plan).
-SLOTS = 1 << 20
-
-
-def membership(keys: DataFrame, key: str) -> tuple[F.Column, F.Column]:
-    """Whether :func:`row_key` of a row can be, and can't be, among ``keys``.
-
-    A filter of fixed size: rows that can't be among the keys pass a join by, and
-    so their texts aren't shuffled. Others may be there by chance, which the
-    exact join decides; with very many keys the filter only stops saving work.
-    """
-    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
-    words = keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("b")).toPandas()
-    bits = np.zeros(SLOTS // 64, np.int64)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    flags = np.unpackbits(bits.view(np.uint8), bitorder="little").tobytes()
-    place = F.pmod(F.xxhash64(row_key()), F.lit(SLOTS)).cast("int") + 1
-    there = F.substring(F.lit(flags), place, F.lit(1)) == F.lit(b"\x01")
-    return there, ~there
-
-
 def keep_rows(docs: DataFrame, judge) -> DataFrame:
     """The rows of ``docs`` for which ``judge`` says so, with all their columns.
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, components, membership, row_key, runs, stored, table, temporary
+from .common import batches, components, row_key, runs, stored, table, temporary
 
 #: Sets up to this size take part with all their tokens.
 SHORT = 64
@@ -341,10 +341,9 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     stays = each.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("stays"))
     rows = each.groupBy("row").agg(F.count("*").alias("times")).join(stays, "row", "left")
     rows = stored(rows.where("stays is null or times > 1").select(F.col("row").alias("_row"), F.coalesce("stays", F.lit(False)).alias("_stays")))
-    there, absent = membership(rows, "_row")
-    hit = docs.where(there).withColumn("_row", row_key()).join(rows, "_row", "left")
+    hit = docs.withColumn("_row", row_key()).join(rows, "_row", "left")
     twice = hit.where("_stays").dropDuplicates(["_row"])
-    return docs.where(absent).unionByName(hit.where("_stays is null").select(*docs.columns)).unionByName(twice.select(*docs.columns))
+    return hit.where("_stays is null").select(*docs.columns).unionByName(twice.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

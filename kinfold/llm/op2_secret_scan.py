@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import membership, row_key, stored, table
+from .common import row_key, stored, table
 
 #: Two parts belong together when the gap between them is at most this long.
 SCOPE = 200
@@ -129,13 +129,9 @@ def digest(found: DataFrame) -> DataFrame:
 def mask(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span replaced by its kind in brackets, and
     ``n_chars`` set to the new length where there is one.
-
-    Only texts with findings (and those a fixed-size filter can't tell from them)
-    are joined with their spans; the others pass by.
     """
     keyed = docs.select(row_key().alias("doc_id"), "text")
     found = stored(find_secrets(keyed, scope).where(F.size("found") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_key"), "found"))
-    there, absent = membership(found, "_key")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(a, s):
@@ -146,12 +142,12 @@ def mask(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     def end(a):
         return F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.char_length("text")))
 
-    hit = docs.where(there).withColumn("_key", row_key()).join(found, "_key", "left")
+    hit = docs.withColumn("_key", row_key()).join(found, "_key", "left")
     text = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.aggregate("found", start, step, end))
     hit = hit.withColumn("text", text)
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return docs.where(absent).unionByName(hit.select(*docs.columns))
+    return hit.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
