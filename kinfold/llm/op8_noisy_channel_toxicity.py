@@ -3,10 +3,11 @@
 1. A character language model: trigram counts over the letters of all texts,
    gathered from every document (the counts grow with the corpus, the table of
    ``ALPHABET ** 3`` cells does not).
-2. Words that look disguised (digits or signs among letters, letters repeated
-   three times and more, single letters set apart by blanks or dots) become a
-   lattice of characters they may stand for; Viterbi search under the language
-   model and the channel's costs restores the word.
+2. Words that may be disguised (digits or signs in them, letters doubled or
+   repeated, single letters set apart by blanks or dots; all but plain numbers,
+   e-mail addresses and URLs) become a lattice of characters they may stand for;
+   Viterbi search under the language model and the channel's costs restores the
+   word.
 3. Restored words and their prefixes are looked up in a lexicon of log odds
    learned from labelled texts, and a logistic regression over what the lexicon
    finds gives the score.
@@ -23,6 +24,7 @@ without labelled rows of both classes every score is the share of toxic labels
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,7 +167,7 @@ class Reader:
                 self.memo.clear()
             core = word.strip(".,;:?\"'()[]{}<>…¡¿«»“”‘’")
             forms = {core.strip("!*_-~")}
-            if 3 <= len(core) <= LONG and (not core.isalpha() or _repeats(core)) and any(c.isalpha() for c in core) and not _numeric(core):
+            if 2 <= len(core) <= LONG and _disguised(core):
                 forms.add(restore(core, self.cost))
             made = {_feature(f) for f in forms if f} | {_feature(f"{p}^{f[:p]}") for f in forms for p in PREFIXES if len(f) >= p}
             known = tuple(made if self.only is None else made & self.only)
@@ -200,14 +202,22 @@ class Reader:
             at = single.find(b"\1\1\1", end)
 
 
-def _repeats(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+#: Numbers with signs, units of money, dates and times; e-mail addresses; URLs.
+_PLAIN = re.compile(
+    r"[+\-±~#$€£¥]*\d[\d.,:/+\-]*[%$€£¥]?"
+    r"|[\w.+%-]+@(?:[\w-]+\.)+[a-z]{2,}"
+    r"|(?:https?|ftps?|sftp|wss?|file|ssh|git|s3)://\S+|mailto:\S+|www\.(?:[\w-]+\.)+\S+"
+)
+_DOUBLED = re.compile(r"(.)\1")
 
 
-def _numeric(word: str) -> bool:
-    """Numbers, addresses and the like, which no one reads as words."""
-    letters = sum(c.isalpha() for c in word)
-    return letters * 2 < len(word) or "@" in word[1:-1] and "." in word or "://" in word or "=" in word
+def _disguised(word: str) -> bool:
+    """Whether a word may stand for another: it has a sign that stands for a
+    letter, or letters that are doubled or set apart, and is no plain number,
+    address or URL."""
+    if word.isalpha():
+        return _DOUBLED.search(word) is not None
+    return any(c.isalpha() or c in LEET for c in word) and _PLAIN.fullmatch(word) is None
 
 
 _READER: dict[str, Reader] = {}

@@ -22,6 +22,16 @@ def test_restores_disguised_words(spark):
     assert plain <= read.text("you 1d1ot!")[0] and plain <= read.text("i d i o t")[0]
 
 
+def test_the_reader_decodes_heavy_disguises(spark):
+    """Words of mostly digits and signs, with single separators or doubled letters, through the main path."""
+    text = " ".join([*WORDS, "pass"] * 50)
+    read = op.Reader(op.costs_of(op.count_trigrams(spark.createDataFrame([(text,)], "text string"))))
+    for disguised, word in [("1d10t", "idiot"), ("p@55", "pass"), ("@$$", "ass"), ("l053r", "loser"), ("7r@5h", "trash"), ("w0r7h1355", "worthless"), ("p@7h371c", "pathetic"), ("s--t--u--p--i--d", "stupid"), ("iiddiioott", "idiot"), ("stuupid", "stupid")]:
+        assert op._feature(word) in read.text(f"you {disguised} there")[0], disguised
+    for plain in ("1337", "-3.50", "$1,200", "12:30", "2024-01-05", "10.0.0.1", "50%", "b0b@m411.example.com", "https://a.example/l053r", "www.l053r.example"):
+        assert not op._disguised(plain)
+
+
 def test_viterbi_is_the_best_path(spark):
     rng = np.random.default_rng(0)
     cost = op.costs_of(rng.random(op.ALPHABET**3))
