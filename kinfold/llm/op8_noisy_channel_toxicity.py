@@ -10,7 +10,8 @@
    word.
 3. Restored words and their prefixes are looked up in a lexicon of log odds
    learned from labelled texts, and a logistic regression over what the lexicon
-   finds gives the score.
+   finds gives the score. Where blanks or dots between all letters hide the ends
+   of words, and in words over LONG, the lexicon is looked up at every place.
 
 Labels are learned only from rows whose crc32(doc_id) modulo 5 is known and not
 0, at most TRAIN_ROWS of them, a hash of the text deciding whether a row serves the lexicon or the
@@ -47,7 +48,7 @@ TRAIN_ROWS = 20_000
 PREFIXES = (4, 5, 6)
 #: Entries of the word memo, per Python worker.
 WORDS = 500_000
-#: Words over this length aren't searched for disguises; they are taken as they are.
+#: Words over this length are read anew each time; the memo holds shorter ones.
 LONG = 64
 
 #: What a sign may stand for.
@@ -128,11 +129,12 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(word: str, cost: np.ndarray) -> str:
-    """The likeliest word behind ``word``: Viterbi search over its lattice."""
+    """The likeliest word behind ``word``: Viterbi search over its lattice. Paths
+    share what they have in common, so the cost is linear in the length."""
     ids = letter_ids()
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for options in lattice(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (total, made) in states.items():
             for piece, extra in options:
                 x, y, sum_ = a, b, total + extra
@@ -141,13 +143,24 @@ def restore(word: str, cost: np.ndarray) -> str:
                     sum_ += float(cost[x, y, k])
                     x, y = y, k
                 if (x, y) not in after or sum_ < after[x, y][0]:
-                    after[x, y] = (sum_, made + piece)
+                    after[x, y] = (sum_, (made, piece) if piece else made)
         states = after
-    return min((total + float(cost[a, b, 0]), made) for (a, b), (total, made) in states.items())[1]
+    ends = [(total + float(cost[a, b, 0]), made) for (a, b), (total, made) in states.items()]
+    least = min(total for total, _ in ends)
+    return min(_joined(made) for total, made in ends if total == least)
+
+
+def _joined(made: tuple) -> str:
+    pieces = []
+    while made:
+        made, piece = made
+        pieces.append(piece)
+    return "".join(reversed(pieces))
 
 
 def _feature(s: str) -> int:
-    return xxhash.xxh64_intdigest(s) >> 1
+    """A hash whose last byte is the length (255: that or more)."""
+    return xxhash.xxh64_intdigest(s) >> 9 << 8 | min(len(s), 255)
 
 
 class Reader:
@@ -156,25 +169,42 @@ class Reader:
     def __init__(self, cost: np.ndarray, only: frozenset[int] | None = None):
         self.cost = cost
         self.only = only  # features that matter; None: all
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.lengths = sorted({k & 255 for k in only or () if 3 <= k & 255 < 255})
+        self.memo: dict[tuple[str, bool], tuple[int, ...]] = {}
 
-    def features(self, word: str) -> tuple[int, ...]:
+    def features(self, word: str, run: bool = False) -> tuple[int, ...]:
         """Hashes of a white-space word: itself, its prefixes, and the same for
-        what it is restored to."""
-        known = self.memo.get(word)
+        what it is restored to. ``run``: its letters were words of their own."""
+        known = self.memo.get((word, run))
         if known is None:
             if len(self.memo) > WORDS:
                 self.memo.clear()
             core = word.strip(".,;:?\"'()[]{}<>…¡¿«»“”‘’")
             forms = {core.strip("!*_-~")}
-            if 2 <= len(core) <= LONG and _disguised(core):
+            if len(core) >= 2 and _disguised(core):
                 forms.add(restore(core, self.cost))
             made = {_feature(f) for f in forms if f} | {_feature(f"{p}^{f[:p]}") for f in forms for p in PREFIXES if len(f) >= p}
-            known = tuple(made if self.only is None else made & self.only)
+            if self.only is not None:
+                made &= self.only
+                if self.only and (run or len(core) > LONG or _set_apart(core)):
+                    made.update(k for f in forms for k in self.inside(f))
+            known = tuple(made)
             if len(word) <= LONG:
-                self.memo[word] = known
+                self.memo[word, run] = known
         return known
 
+    def inside(self, form: str) -> Iterator[int]:
+        """The features that matter at every place of ``form``: words of three
+        letters and more, and prefixes."""
+        only = self.only or ()
+        for i in range(len(form) - 2):
+            for n in self.lengths:
+                if i + n <= len(form) and (k := _feature(form[i : i + n])) in only:
+                    yield k
+            for p in PREFIXES:
+                if i + p <= len(form) and (k := _feature(f"{p}^{form[i : i + p]}")) in only:
+                    yield k
+
     def text(self, text: str | None) -> tuple[set[int], int]:
         """Distinct features and the number of words."""
         words = (text or "").lower().split()
@@ -183,7 +213,7 @@ class Reader:
         for w in set(words):
             found.update(features(w))
         for w in self.spaced(words):
-            found.update(features(w))
+            found.update(features(w, True))
         return found, len(words)
 
     def spaced(self, words: list[str]) -> Iterator[str]:
@@ -196,9 +226,7 @@ class Reader:
         while at >= 0:
             end = single.find(b"\0", at)
             end = len(single) if end < 0 else end
-            run = "".join(words[at:end])
-            if len(run) <= LONG:
-                yield run
+            yield "".join(words[at:end])
             at = single.find(b"\1\1\1", end)
 
 
@@ -220,6 +248,15 @@ def _disguised(word: str) -> bool:
     return any(c.isalpha() or c in LEET for c in word) and _PLAIN.fullmatch(word) is None
 
 
+def _set_apart(word: str) -> bool:
+    """Whether signs that stand for no letter part the word into mostly single characters."""
+    if word.isalnum():
+        return False
+    parts = "".join(c if c.isalpha() or c in LEET or c == "*" else " " for c in word).split()
+    single = sum(len(p) == 1 for p in parts)
+    return single >= 3 and single * 2 >= len(parts)
+
+
 _READER: dict[str, Reader] = {}
 
 
@@ -266,14 +303,17 @@ def learn_lexicons(rows: DataFrame, key: str, cost: np.ndarray) -> tuple[dict[in
     ``rows`` has ``text``, ``toxic`` and ``fold``, one row per distinct text. The
     first pass counts the features of toxic texts; only those that enough toxic
     texts share are counted in all others. At most 1 / LEAST_SHARE times the
-    features of a toxic text can pass.
+    features of a toxic text can pass. What passes is then counted again in the
+    toxic texts, now at every place a reader looks it up.
     """
     sizes = np.zeros((2, 2))
     for r in rows.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect():
         sizes[r["toxic"], r["fold"]] = r["n"]
     least = max(LEAST_TEXTS, LEAST_SHARE * sizes[1].sum())
     toxic = _counts(rows.where("toxic = 1"), key, cost, None, least / 2)
-    clean = _counts(rows.where("toxic = 0"), key, cost, frozenset(toxic), 0)
+    wanted = frozenset(toxic)
+    toxic = _counts(rows.where("toxic = 1"), key, cost, wanted, 0)
+    clean = _counts(rows.where("toxic = 0"), key, cost, wanted, 0)
 
     def odds(folds: list[int]) -> dict[int, float]:
         out = {}

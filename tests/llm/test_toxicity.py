@@ -32,6 +32,23 @@ def test_the_reader_decodes_heavy_disguises(spark):
         assert not op._disguised(plain)
 
 
+def test_long_runs_and_words_are_read_in_full(spark):
+    text = " ".join([*WORDS, "you", "are"] * 50)
+    cost = op.costs_of(op.count_trigrams(spark.createDataFrame([(text,)], "text string")))
+    want = {op._feature("stupid"), op._feature("5^worth")}
+    read = op.Reader(cost, frozenset(want))
+    long = "the quick pathetic cats sat near the scum and the loser dogs are with no trash today you are stupid worthless moron"
+    short = "you are stupid worthless"
+    for s in (short, long):
+        letters = s.replace(" ", "")
+        assert read.text(" ".join(letters))[0] == want
+        assert read.text(".".join(letters))[0] == want
+        assert read.text(" ".join(letters.replace("stupid", "5tup1d")))[0] == want
+    assert read.text("st" + "u" * 100 + "pid")[0] == {op._feature("stupid")}
+    assert read.text("a plain astupid word")[0] == set()  # no place inside of plain words
+    assert op.restore("1d" * 20_000, cost).count("d") == 20_000
+
+
 def test_viterbi_is_the_best_path(spark):
     rng = np.random.default_rng(0)
     cost = op.costs_of(rng.random(op.ALPHABET**3))
