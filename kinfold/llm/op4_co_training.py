@@ -88,7 +88,6 @@ def content_view(text: str) -> np.ndarray:
         lengths = np.fromiter(map(len, words), np.int32, n)
         distinct = set(words)
         same = sum(map(str.__eq__, words, words[1:]))
-        low = text.lower().split() if n < 400 else [w.lower() for w in words[:: n // 200]]
         most = max(Counter(words).values()) / n
         ends = sum(not w[-1].isalnum() for w in words) / n
         starts = sum(w[0].isupper() for w in words) / n
@@ -102,7 +101,7 @@ def content_view(text: str) -> np.ndarray:
             most,
             ends,
             starts,
-            sum(len(w) <= 3 for w in low) / max(1, len(low)),
+            (lengths <= 3).mean(),
             (lengths == 1).mean(),
             np.log1p(n) / 10,
         ]

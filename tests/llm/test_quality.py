@@ -19,6 +19,13 @@ def test_accuracy(spark):
     assert np.mean([r["keep"] for r in good]) > 0.98 and np.mean([r["keep"] for r in bad]) < 0.1
 
 
+def test_share_of_short_words_is_of_all_words():
+    at = 6 + len(op.SIGNS) + 9
+    for n, every in ((300, 3), (600, 3), (1200, 6), (4000, 20)):
+        text = " ".join("ab" if i % every == 0 else "longer" for i in range(n))
+        assert op.content_view(text)[at] == pytest.approx(1 / every, abs=1e-3)
+
+
 def test_defined_cases(spark):
     good = [(i, "A plain sentence of words, and then some more of them.", "a", "en", 54) for i in range(40)]
     bad = [(100 + i, "BUY!! NOW!! BUY!! NOW!! $$$ %%% " * 3, "b", "en", 90) for i in range(40)]
