@@ -1,4 +1,4 @@
-"""Hamming joins of packed 64-bit hashes.
+"""Hamming joins of packed hashes: 64 bits as a BIGINT, more as an array of them.
 
 Two hashes within distance r agree in at least one of r + 1 bands, so an
 equi-join on bands, verified, is exact. Where bands would be so narrow that they
@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from kinfold.functions.bits import hamming, radius, score
+from kinfold.functions.bits import hamming, hamming_words, radius, score
 
 WIDTH = 64
+#: Bits that can differ, of the widths that have fewer than that.
+VARYING = {961: 900}
 #: Bands narrower than this select too little.
 LEAST_BAND = 10
 #: Rows of a block, about.
@@ -26,6 +29,18 @@ def _banded(hashes: DataFrame, bands: int) -> DataFrame:
     return hashes.select("id", "hash", F.explode(F.array(*parts)).alias("p")).select("id", "hash", "p.band", "p.bits")
 
 
+def _banded_words(hashes: DataFrame, bands: int, width: int) -> DataFrame:
+    """Bands of hashes packed as arrays: the words a band touches, masked."""
+    edges = [width * i // bands for i in range(bands + 1)]
+
+    def masked(word: int, a: int, b: int):
+        bits = sum(1 << i for i in range(max(a - 64 * word, 0), min(b - 64 * word, 64)))
+        return F.get("hash", F.lit(word)).bitwiseAND(F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long"))
+
+    parts = [F.struct(F.lit(i).alias("band"), F.array(*[masked(w, a, b) for w in range(a // 64, (b - 1) // 64 + 1)]).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    return hashes.select("id", "hash", F.explode(F.array(*parts)).alias("p")).select("id", "hash", "p.band", "p.bits")
+
+
 def _blocked(hashes: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
     own = hashes.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
@@ -34,28 +49,30 @@ def _blocked(hashes: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def pairs_within(hashes: DataFrame, distance: int) -> DataFrame:
+def pairs_within(hashes: DataFrame, distance: int, width: int = WIDTH) -> DataFrame:
     """``(src, dst, distance)`` with src < dst, for ``hashes (id, hash)``."""
     bands = distance + 1
-    if WIDTH // bands >= LEAST_BAND:
-        a, b = _banded(hashes, bands), _banded(hashes, bands)
+    wide = isinstance(hashes.schema["hash"].dataType, ArrayType)
+    varying = VARYING.get(width, width)
+    if varying // bands >= LEAST_BAND:
+        a, b = (_banded_words(hashes, bands, varying) if wide else _banded(hashes, bands) for _ in range(2))
         met = a.alias("a").join(b.alias("b"), ["band", "bits"]).where("a.id < b.id")
     else:
         blocks = max(1, -(-hashes.count() // BLOCK))
         a, b = _blocked(hashes, blocks)
         met = a.alias("a").join(b.alias("b"), ["b", "c"]).where(F.col("a.id") != F.col("b.id"))
-    far = hamming("a.hash", "b.hash")
+    far = (hamming_words if wide else hamming)("a.hash", "b.hash")
     found = met.where(far <= distance).select(F.least("a.id", "b.id").alias("src"), F.greatest("a.id", "b.id").alias("dst"), far.alias("distance"))
     return found.distinct()
 
 
-def neighbours(hashes: DataFrame, degree: int, limit: int | None = 100) -> DataFrame:
+def neighbours(hashes: DataFrame, degree: int, limit: int | None = 100, width: int = WIDTH) -> DataFrame:
     """``(src, dst, score)`` in both directions and with each hash itself: those
     within the degree, the best ``limit`` of each source."""
-    half = pairs_within(hashes, radius(degree))
+    half = pairs_within(hashes, radius(degree), width)
     own = hashes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("distance"))
     both = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).unionByName(own)
-    both = both.select("src", "dst", score(WIDTH, F.col("distance")).alias("score"))
+    both = both.select("src", "dst", score(width, F.col("distance")).alias("score"))
     if limit is None:
         return both
     best = Window.partitionBy("src").orderBy(F.desc("score"), "dst")

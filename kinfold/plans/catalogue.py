@@ -257,6 +257,22 @@ def search_images(spark, sf_dir):
     return search.find_duplicates(texts_hashed(spark, sf_dir), p)
 
 
+def _search_images(spark, sf_dir, algorithm, degree):
+    images = perceptual.byte_pixels(files(spark, sf_dir).where("size > 0"), algorithm)
+    p = SearchParameters(folders=["*"], file_search_type="Images", perceptual_hash_algorithm=algorithm, degree_of_similarity=degree)
+    return search.find_duplicates(images, p)
+
+
+@query(None)
+def search_images_perceptual(spark, sf_dir):
+    return _search_images(spark, sf_dir, "PerceptualHash", 6)
+
+
+@query(None)
+def search_images_block_mean(spark, sf_dir):
+    return _search_images(spark, sf_dir, "BlockMeanHash", 24)
+
+
 @query("SELECT '' AS group_id, '' AS name, '' AS type, '' AS path, 0::bigint AS size WHERE false")
 def search_audios(spark, sf_dir):
     return search.find_duplicates(files(spark, sf_dir), SearchParameters(folders=["*"], file_search_type="Audios"))

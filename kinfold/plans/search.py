@@ -24,22 +24,28 @@ def similar_images(images: DataFrame, p: SearchParameters, cache: HashCache | No
     """``(group_id, path)`` of similar images: equal files once, hashed, joined
     within the degree, and covered by stars in the order of their ids.
 
-    ``images`` has ``path``, ``size``, ``content``, and ``pixels`` for the
-    difference hash (grey, nine by eight).
+    ``images`` has ``path``, ``size``, ``content``, and ``pixels`` (grey) as the
+    algorithm takes them: nine by eight for the difference hash, 32 by 32 for the
+    perceptual hash, 256 by 256 for the block mean hash.
     """
+    algorithm = p.perceptual_hash_algorithm or "DifferenceHash"
+    width = perceptual.BITS[algorithm]
     readable, _ = predicates.split_readable(predicates.select_files(images, p))
     keyed = readable.withColumn("id", F.xxhash64(F.sha2("content", 256)))
     groups = keyed.groupBy("id").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.first("pixels").alias("pixels"))
-    hashes = groups.select("id", perceptual.once(pack(perceptual.difference_bits("pixels"))).alias("hash"))
+    if algorithm == "DifferenceHash":
+        hashes = groups.select("id", perceptual.once(pack(perceptual.difference_bits("pixels"))).alias("hash"))
+    else:
+        hashes = perceptual.packed(groups, algorithm, "id")
     if cache:
-        known = probe(hashes, cache.hashes("DifferenceHash"))
+        known = probe(hashes, cache.hashes(algorithm))
         new = known.where(~F.col("hit")).select("id", "hash")
         hashes = known.select("id", F.coalesce("cached_hash", "hash").alias("hash"))
-        cache.add_hashes("DifferenceHash", new)
-    edges = similarity.neighbours(hashes.where("hash is not null"), p.degree_of_similarity or 0)
+        cache.add_hashes(algorithm, new)
+    edges = similarity.neighbours(hashes.where("hash is not null"), p.degree_of_similarity or 0, width=width)
     if cache:
-        old = cache.edges("DifferenceHash", similarity.WIDTH - (p.degree_of_similarity or 0))
-        cache.add_edges("DifferenceHash", similarity.not_cached(edges, old))
+        old = cache.edges(algorithm, width - (p.degree_of_similarity or 0))
+        cache.add_edges(algorithm, similarity.not_cached(edges, old))
         edges = similarity.merge_neighbours(old.join(hashes.select(F.col("id").alias("src")), "src", "left_semi"), edges)
     found = cover.star_cover(edges.join(hashes.select(F.col("id").alias("dst")), "dst", "left_semi"), groups.select("id", F.size("paths").cast("long").alias("copies")), evict)
     return found.join(groups.select(F.col("id").alias("member"), F.explode("paths").alias("path")), "member").select("group_id", "path")

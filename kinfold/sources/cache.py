@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.operators.perceptual import BITS
+
 SCHEMAS = {"hashes": "id long, hash long, algorithm string", "edges": "src long, dst long, score int, algorithm string"}
 
 
@@ -19,9 +21,9 @@ class HashCache:
 
     def _read(self, table: str, algorithm: str) -> DataFrame:
         try:
-            found = self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.path}/{table}")
+            found = self.spark.read.schema(_schema(table, algorithm)).parquet(f"{self.path}/{table}")
         except AnalysisException:
-            found = self.spark.createDataFrame([], SCHEMAS[table])
+            found = self.spark.createDataFrame([], _schema(table, algorithm))
         return found.where(F.col("algorithm") == algorithm).drop("algorithm")
 
     def exists(self) -> bool:
@@ -41,6 +43,11 @@ class HashCache:
         rows.select("src", "dst", "score", F.lit(algorithm).alias("algorithm")).write.mode("append").partitionBy("algorithm").parquet(f"{self.path}/edges")
 
 
+def _schema(table: str, algorithm: str) -> str:
+    """The table's columns; hashes of more than 64 bits are arrays."""
+    return SCHEMAS[table].replace("hash long", "hash array<long>") if BITS.get(algorithm, 64) > 64 else SCHEMAS[table]
+
+
 def probe(rows: DataFrame, cached: DataFrame) -> DataFrame:
     """``rows (id, …)`` with their cached hash and whether there was one."""
     return rows.join(cached.select("id", F.col("hash").alias("cached_hash")), "id", "left").withColumn("hit", F.col("cached_hash").isNotNull())

@@ -132,6 +132,25 @@ def test_cache_makes_the_second_run_equal(spark, tmp_path):
     assert probe(cache.hashes("DifferenceHash").select("id"), cache.hashes("DifferenceHash")).where("not hit").count() == 0
 
 
+@pytest.mark.parametrize("algorithm, side, degree", [("PerceptualHash", 32, 20), ("BlockMeanHash", 256, 40), ("BlockMeanHash", 256, 256)])
+def test_image_search_uses_the_algorithm_asked(spark, tmp_path, algorithm, side, degree):
+    rng = np.random.default_rng(1)
+    base = [rng.integers(0, 256, (side, side)) for _ in range(4)]
+    images = [np.clip(b + rng.integers(-3, 4, b.shape), 0, 255).astype(np.uint8) for b in base for _ in range(3)]
+    make = perceptual.perceptual_bits if algorithm == "PerceptualHash" else perceptual.block_mean_bits
+    bits = [make(i) for i in images]
+    want = {(a, b, int((bits[a] != bits[b]).sum())) for b in range(12) for a in range(b) if (bits[a] != bits[b]).sum() <= degree // 2}
+    px = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(images)] + [(99, bytearray(b"short"))], "id long, pixels binary")
+    hashes = perceptual.packed(px, algorithm, "id").where("hash is not null")
+    assert {tuple(r) for r in similarity.pairs_within(hashes, degree // 2, perceptual.BITS[algorithm]).collect()} == want and len(want) >= 12
+    rows = px.where("id < 99").select(F.col("id").cast("string").alias("path"), "pixels", F.col("pixels").alias("content"), F.length("pixels").cast("long").alias("size"))
+    p = SearchParameters(folders=["x"], file_search_type="Images", perceptual_hash_algorithm=algorithm, degree_of_similarity=degree)
+    cache = HashCache(spark, str(tmp_path / "cache"))
+    plain, first, second = (sorted(tuple(r) for r in search.find_duplicates(rows, p, c).collect()) for c in (None, cache, cache))
+    assert plain == first == second and len({r[1] for r in plain}) == 12
+    assert cache.hashes(algorithm).count() == 12 and cache.hashes("DifferenceHash").count() == 0
+
+
 def test_stream_keeps_first_contents(spark, tmp_path):
     from kinfold.streaming.ingest import first_seen
 
