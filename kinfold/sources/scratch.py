@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,25 +40,53 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
+_SCOPE: contextvars.ContextVar[Scope | None] = contextvars.ContextVar("kinfold_scope", default=None)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again (larger
-    tables: columnar, compressed, column-pruned)."""
+class Scope:
+    """The scratch tables that one piece of work has made and has not kept."""
+
+    def __init__(self, outer: Scope | None):
+        self.outer, self.tables = outer, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, stored so that it outlives this scope."""
+        out, table = _write(df)
+        if self.outer:
+            self.outer.tables.append(table)
+        return out
+
+
+def _write(df: DataFrame) -> tuple[DataFrame, tuple[SparkSession, str]]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _SCRATCH.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), _SCRATCH[-1]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again (larger
+    tables: columnar, compressed, column-pruned). It is deleted at the end of the
+    ``temporary`` scope that it is made in, else when the process ends."""
+    out, table = _write(df)
+    if scope := _SCOPE.get():
+        scope.tables.append(table)
+    return out
 
 
 @contextlib.contextmanager
-def temporary() -> Iterator[None]:
-    """Deletes the scratch tables that are made inside, at the end. Only for code
-    whose results no longer read them: what it returns must be computed by then."""
-    before = len(_SCRATCH)
-    yield
-    release(_SCRATCH[before:])
+def temporary() -> Iterator[Scope]:
+    """Deletes the scratch tables that are made inside, at the end or on an error,
+    but for those that went through ``keep``. What leaves the scope may read kept
+    tables only."""
+    scope = Scope(_SCOPE.get())
+    token = _SCOPE.set(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPE.reset(token)
+        release(scope.tables)
 
 
 @atexit.register
@@ -64,15 +94,12 @@ def release(tables: list[tuple[SparkSession, str]] | None = None) -> None:
     """Delete scratch tables: those given, or all of this process."""
     for found in list(_SCRATCH if tables is None else tables):
         spark, path = found
-        _SCRATCH.remove(found)
+        if found in _SCRATCH:
+            _SCRATCH.remove(found)
+        if spark.sparkContext._jsc is None:  # the session has ended already
+            continue
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended already
-            return
-
-
-def made() -> list[tuple[SparkSession, str]]:
-    """The scratch tables that there are now."""
-    return list(_SCRATCH)
+        except Exception as e:  # what can't be deleted now is left to the folder's owner
+            warnings.warn(f"scratch table {path} was not deleted: {e}", stacklevel=2)
