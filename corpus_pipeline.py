@@ -1,14 +1,18 @@
 """A training corpus from ``documents``, in five stages.
 
 Quality classifier -> toxicity -> near duplicates -> secrets -> packing. Each
-stage reads what the one before it wrote; so the scratch tables of a stage are
-deleted when the next one begins.
+stage reads what the one before it wrote. Scratch tables that a stage's result
+does not read are deleted within the stage; the others stay while the process
+lives, so a result can be read at any time after other runs.
+
+Defined cases, in every stage: null texts count as empty (and stay null), repeated
+rows are judged alike (the third stage keeps one of them), rows with equal scores
+are not told apart, other columns are carried along, and an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,52 +21,33 @@ from kinfold.llm import op2_secret_scan as secrets
 from kinfold.llm import op4_co_training as quality
 from kinfold.llm import op6_minimum_bin_slack as packing
 from kinfold.llm import op8_noisy_channel_toxicity as toxicity
-from kinfold.llm.common import made, release, stored, table
-
-_LEFT: list = []
-
-
-def stage(work):
-    """Frees what the stage before has left, and notes what this one leaves."""
-
-    @functools.wraps(work)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        there = made()
-        release([x for x in _LEFT if x in there])
-        there = made()
-        out = work(spark, docs, sf_dir)
-        _LEFT[:] = [x for x in made() if x not in there]
-        return out
-
-    return run
+from kinfold.llm.common import stored, table, temporary
 
 
-@stage
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    model = quality.train(stored(quality.views(docs)), table(spark, sf_dir, "labels"))
+    with temporary():
+        model = quality.train(stored(quality.views(docs)), table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model)
 
 
-@stage
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half."""
-    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    with temporary():
+        model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
 
 
-@stage
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8)."""
     return join.keep_one(docs, words=5, percent=80)
 
 
-@stage
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
     return secrets.mask(docs)
 
 
-@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces and their places in sequences."""
     pieces = packing.pieces(docs, packing.vocabulary("word_bpe_49k.json"))

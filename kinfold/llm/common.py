@@ -12,11 +12,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, NumericType
 
 from kinfold.operators.graph import components
-from kinfold.sources.scratch import cut, made, release, shared_dir, stored, temporary
+from kinfold.sources.scratch import cut, release, shared_dir, stored, temporary
 
-__all__ = ["batches", "components", "cut", "dense", "fit_logistic", "keep_rows", "made", "matrix", "release", "remainder", "row_key", "runs", "shared_dir", "stored", "sums", "table", "temporary", "usable"]
+__all__ = ["batches", "components", "cut", "dense", "fit_logistic", "keep_rows", "key_of", "matrix", "release", "remainder", "runs", "shared_dir", "stored", "sums", "table", "temporary", "unused", "usable"]
 
 #: Rows of one Arrow batch handed back by the operators below; texts can be long.
 OUT_ROWS = 256
@@ -49,9 +50,23 @@ def remainder(column: str, modulus: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def row_key() -> F.Column:
-    """A key of a document's row; rows with equal keys are repeated rows."""
-    return F.xxhash64("doc_id", "text")
+def key_of(df: DataFrame, columns: list[str]) -> F.Column:
+    """A 128-bit key of the values of ``columns``, nulls included; rows with equal
+    keys are equal in them (but for one chance in 2 ** 128 a pair)."""
+    parts = []
+    for c in columns:
+        quoted = F.col(f"`{c.replace('`', '``')}`")
+        value = quoted if isinstance(df.schema[c].dataType, (AtomicType, NumericType)) else F.to_json(F.struct(quoted))
+        parts += [quoted.isNull(), value]
+    return F.struct(F.xxhash64(*parts).alias("x"), F.xxhash64(F.lit(0x9E3779B9), *parts[::-1]).alias("y"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it as many as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def keep_rows(docs: DataFrame, judge) -> DataFrame:

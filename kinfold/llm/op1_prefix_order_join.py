@@ -1,7 +1,8 @@
-"""Exact n-gram Jaccard join by prefix filters under several token orders.
+"""N-gram Jaccard join by prefix filters under several token orders.
 
 A document's set holds the 63-bit hashes of its distinct word shingles; equal
-sets are one class. For a pair to reach the threshold, its sets must share tokens
+sets are one class, by a 63-bit hash of the set. Beyond clashes of these hashes
+the join is exact. For a pair to reach the threshold, its sets must share tokens
 in their prefixes under *every* order of the tokens, so the orders' filters are
 intersected before any pair is verified:
 
@@ -13,17 +14,26 @@ intersected before any pair is verified:
 3. by a second hash: a candidate pair must also share a token of the l-prefix's
    first tokens in this order.
 
-Candidates are taken from the postings by hubs: every class of a posting list is
-compared with one hub of the list, the linked ones are joined into components,
-and only pairs that stand in different components are looked at again. A group of
-thousands of near copies so costs about one comparison for each member, and no
-pair that could join two components is left out. What is verified is the exact
-similarity of whole sets, and before sets are sent anywhere, parity bitmaps refute
-most pairs that are not alike enough.
+Pairs within a posting list are never listed. Components grow in rounds:
+
+* hubs: every class of a list is compared with one hub of it, so a group of
+  thousands of near copies costs about one comparison a member;
+* forests: where a list still holds several components, tasks over pairs of
+  blocks of it refute pairs by parity bitmaps and give back a spanning forest of
+  what is left, the likest pairs first, to be verified like the hubs' pairs;
+* the rest: rows that still have an open partner in another component are brought
+  together with their whole sets and every such pair is verified on the spot;
+  links come back as a forest.
+
+No step gives more rows than it has postings, and no pair that could join two
+components is left out. Postings carry two numbers; bitmaps and sets are fetched
+for classes that are compared. A list of many documents that are alike but not
+linked costs the square of its length in bitmap comparisons, spread over tasks.
 
 Defined cases: null, empty and blank texts have no shingles and stand alone; a
 text with fewer words than a shingle is one shingle; copies and repeated rows are
-one class; a null id never names a component unless it stands alone.
+one class; a null id never names a component unless it stands alone; an empty
+table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, components, row_key, runs, stored, table, temporary
+from .common import batches, components, key_of, runs, stored, table, temporary, unused
 
 #: Sets up to this size take part with all their tokens.
 SHORT = 64
@@ -44,12 +54,13 @@ SHORT = 64
 SHARED = 0.10
 #: Rounds with one hub for each posting list, before the pairs left are listed.
 HUB_ROUNDS = 2
-#: Rows of a block of a posting list, about; a task holds two.
-BLOCK = 1024
+#: Rows and shingles of a block of a posting list, about; a task holds two blocks.
+BLOCK, BLOCK_TOKENS = 4096, 1 << 21
 #: Entries of the memo of words, per Python worker.
 WORDS = 700_000
-#: 64-bit words of a set's parity bitmap.
-PARITY = 16
+#: Bits of a parity bitmap: so many a shingle, rounded up to a power of two, and so
+#: many at least; words that are compared at a time.
+BITS_EACH, LEAST_BITS, PORTION = 3, 1024, 1 << 21
 #: Bits of the filter that spares most texts the second reading (1 MiB).
 FILTER_BITS = 1 << 23
 
@@ -121,50 +132,57 @@ def _third(tokens: np.ndarray) -> np.ndarray:
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of 64 * PARITY bits, each the parity of the tokens that fall on it.
+    """A bitmap, as 64-bit words, each bit the parity of the tokens that fall on it.
 
     Two bitmaps differ in at most as many bits as the sets have tokens that the
     other lacks, so a pair whose bitmaps differ in more than a linked pair can is
-    refuted for certain.
+    refuted for certain. The width grows with the set, so long sets are refuted as
+    well as short ones.
     """
-    counts = np.bincount((tokens >> 7) % (64 * PARITY), minlength=64 * PARITY)
-    return np.packbits(counts & 1 == 1, bitorder="little").view("<i8")
+    bits = max(LEAST_BITS, 1 << int(BITS_EACH * len(tokens) - 1).bit_length())
+    counts = np.bincount((tokens >> 7) & (bits - 1), minlength=bits)
+    return np.packbits(counts & 1 == 1, bitorder="little").view("<u8")
 
 
-def _words(prefix: str) -> list[str]:
-    return [f"{prefix}{i}" for i in range(PARITY)]
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bitmaps as they would be at the smaller ``width`` (in words)."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
 
 
-def _alike(a: str, na: str, b: str, nb: str, percent: int) -> F.Column:
-    """Whether sizes and parity bitmaps leave it open that a pair is linked."""
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(_words(a), _words(b))), F.lit(0))
-    fits = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-    return fits & (differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent))
+def _fits(n, m, differ, percent: int):
+    """Whether sizes and differing bits leave it open that a pair is linked."""
+    return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(doc_id, row, n, key, slack, q)`` of every row: its key, set size, class
-    key, posted length less prefix length, and the l-prefix."""
+    """``(doc_id, row, n, key, slack, q)`` of every row: the key of all its columns,
+    set size, class key, posted length less prefix length, and the l-prefix."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     limit = Threshold(percent)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            schema = pa.schema([f.schema.field(0).with_name("doc_id"), ("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("slack", pa.int32()), ("q", pa.list_(pa.int64()))])
+            schema = pa.schema([f.schema.field(0).with_name("doc_id"), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("slack", pa.int32()), ("q", pa.list_(pa.int64()))])
 
             def rows(f=f):
-                for k, t, row in zip(f.column(0), f.column(1), f.column(2).to_pylist(), strict=True):
+                for k, t, x, y in zip(f.column(0), f.column(1), f.column(2).to_pylist(), f.column(3).to_pylist(), strict=True):
                     s = shingles(t.as_py(), words)
                     n = len(s)
                     if not n:
-                        yield k.as_py(), row, 0, None, 0, []
+                        yield k.as_py(), x, y, 0, None, 0, []
                     else:
                         m = limit.prefix(n)
-                        yield k.as_py(), row, n, xxhash.xxh64_intdigest(s.tobytes()) >> 1, limit.posted(n) - m, s[:m]
+                        yield k.as_py(), x, y, n, xxhash.xxh64_intdigest(s.tobytes()) >> 1, limit.posted(n) - m, s[:m]
 
             yield from batches(rows(), schema, 1024)
 
-    return docs.select("doc_id", "text", row_key().alias("row")).mapInArrow(run, f"doc_id {kind}, row long, n long, key long, slack int, q array<long>")
+    row = unused(docs, "row")
+    keyed = docs.withColumn(row, key_of(docs, docs.columns)).select("doc_id", "text", f"{row}.x", f"{row}.y")
+    found = keyed.mapInArrow(run, f"doc_id {kind}, x long, y long, n long, key long, slack int, q array<long>")
+    return found.select("doc_id", F.struct("x", "y").alias("row"), "n", "key", "slack", "q")
 
 
 def _slot(ids: F.Column) -> F.Column:
@@ -172,7 +190,7 @@ def _slot(ids: F.Column) -> F.Column:
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(key, n, s, o, w0...)`` of the classes in ``classes (key, rep)``: the whole
+    """``(key, n, s, o, w)`` of the classes in ``classes (key, rep)``: the whole
     set, the posted prefix in the third order and the parity bitmap, from a second
     reading of the texts.
 
@@ -189,7 +207,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
-        schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("s", pa.binary()), ("o", pa.list_(pa.int64())), *((w, pa.int64()) for w in _words("w"))])
+        schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("s", pa.binary()), ("o", pa.list_(pa.int64())), ("w", pa.binary())])
         for f in frames:
 
             def rows(f=f):
@@ -198,114 +216,231 @@ def whole_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
                         s = shingles(t.as_py(), words)
                         if len(s):
                             q = s[: limit.prefix(len(s))]
-                            yield xxhash.xxh64_intdigest(s.tobytes()) >> 1, len(s), s.tobytes(), q[_third(q)][: limit.posted(len(s))], *parity(s).tolist()
+                            yield xxhash.xxh64_intdigest(s.tobytes()) >> 1, len(s), s.tobytes(), q[_third(q)][: limit.posted(len(s))], parity(s).tobytes()
 
             yield from batches(rows(), schema, 256)
 
-    found = docs.select(F.when(F.col("doc_id").isNotNull(), _slot(F.col("doc_id"))).alias("slot"), "text").mapInArrow(run, "key long, n long, s binary, o array<long>, " + ", ".join(f"{w} long" for w in _words("w")))
+    found = docs.select(F.when(F.col("doc_id").isNotNull(), _slot(F.col("doc_id"))).alias("slot"), "text").mapInArrow(run, "key long, n long, s binary, o array<long>, w binary")
     found = found.join(classes.select("key"), "key", "left_semi")
-    return found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "s", "o", *_words("w"))])
+    return found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "s", "o", "w")])
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    inside = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * inside >= percent * (len(x) + len(y) - inside)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole sets reach the threshold."""
-    third = sets.select("key", "o")
-    open_ = pairs.join(third.withColumnRenamed("o", "oa"), F.col("a") == F.col("key")).drop("key").join(third.withColumnRenamed("o", "ob"), F.col("b") == F.col("key"))
-    open_ = open_.where(F.arrays_overlap("oa", "ob")).select("a", "b")
-    whole = sets.select("key", "s")
-    both = open_.join(whole.withColumnRenamed("s", "sb"), F.col("b") == F.col("key")).drop("key").join(whole.withColumnRenamed("s", "sa"), F.col("a") == F.col("key")).select("a", "b", "sa", "sb")
+    """The pairs ``(a, b)`` whose whole sets reach the threshold.
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Before whole sets are fetched, a pair must fit by size, share a token of the
+    third order's prefixes and not be refuted by its bitmaps.
+    """
+    narrow = sets.select("key", "n", "o", "w")
+    narrow = [narrow.select(F.col("key").alias(k), *[F.col(c).alias(f"{c}{k}") for c in ("n", "o", "w")]) for k in "ab"]
+    open_ = pairs.join(narrow[0], "a").join(narrow[1], "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    open_ = open_.where(F.arrays_overlap("oa", "ob")).select("a", "b", "na", "nb", "wa", "wb")
+
+    def narrowed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
             keep = []
-            for x, y in zip(f.column(2), f.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                inside = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * inside >= percent * (len(x) + len(y) - inside))
-            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            for n, m, x, y in zip(f.column(2).to_pylist(), f.column(3).to_pylist(), f.column(4).to_pylist(), f.column(5).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8")[None], np.frombuffer(y, "<u8")[None]
+                width = min(x.shape[1], y.shape[1])
+                keep.append(bool(_fits(n, m, int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()), percent)))
+            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    whole = sets.select("key", "s")
+    both = open_.mapInArrow(narrowed, "a long, b long")
+    both = both.join(whole.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
-    return both.mapInArrow(run, "a long, b long")
+    def exact(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            keep = [_linked(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), percent) for x, y in zip(f.column(2), f.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(exact, "a long, b long")
 
 
 def postings(signed: DataFrame) -> DataFrame:
-    """``(tok, key, n)``: what each class posts after the first two orders."""
-    each = signed.where("key is not null").select("key", "n", "slack", F.explode("q").alias("tok"))
+    """``(tok, key)``: what each class posts after the first two orders."""
+    each = signed.where("key is not null").select("key", "slack", F.explode("q").alias("tok"))
     common = each.groupBy("tok").agg(F.count("*").alias("c"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("tok", "c")
-    found = each.join(common, "tok").groupBy("key", "tok").agg(F.first("n").alias("n"), F.first("slack").alias("slack"), F.first("c").alias("c"))
+    found = each.join(common, "tok").groupBy("key", "tok").agg(F.first("slack").alias("slack"), F.first("c").alias("c"))
     of_class = Window.partitionBy("key")
     found = found.withColumn("size", F.count("*").over(of_class)).withColumn("rank", F.row_number().over(of_class.orderBy("c", "tok")))
-    found = stored(found.where(F.col("rank") <= F.col("slack") + F.col("size")).select("tok", "key", "n"))
+    found = stored(found.where(F.col("rank") <= F.col("slack") + F.col("size")).select("tok", "key"))
     # A token that only one class posts after the filter makes no pair.
     shared = found.groupBy("tok").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("tok")
     return found.join(shared, "tok", "left_semi")
 
 
-def listed(left: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of different components that meet in a posting list of
-    ``left (tok, key, n, c, w0...)`` and that sizes and parity bitmaps leave open.
+class _Group:
+    """Rows of one pair of blocks: which pairs of different components are open."""
 
-    Long lists are cut into blocks and tasks take pairs of blocks, so no task
-    holds a whole list; refuted pairs are never rows.
-    """
-    sizes = left.groupBy("tok").agg(F.count("*").alias("size")).select("tok", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
-    rows = left.join(sizes, "tok").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")))
+    def __init__(self, g: pa.Table, percent: int):
+        self.percent = percent
+        self.key, self.n, self.c, self.block = (g[x].to_numpy() for x in ("key", "n", "c", "block"))
+        self.i, self.j = int(g["i"][0].as_py()), int(g["j"][0].as_py())
+        raw = g["w"].to_pylist()
+        self.width = np.array([len(w) // 8 for w in raw])
+        self.words = {}
+        for width in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == width)
+            self.words[width] = at, np.frombuffer(b"".join(raw[k] for k in at), "<u8").reshape(len(at), -1)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(x, y, differing bits)`` of the open pairs, in bounded portions."""
+        names, at = np.unique(self.c, return_inverse=True)
+        odd = at != np.bincount(at).argmax()  # most rows may be of one component
+        for width, (rows, words) in self.words.items():
+            for other, (cols, more) in self.words.items():
+                if other >= width:
+                    more = folded(more, width)
+                    # A pair of one component is settled, so one side is odd.
+                    x, y = odd[rows], odd[cols]
+                    yield from self._portions(rows[x], words[x], cols, more)
+                    if other > width:
+                        yield from self._portions(rows[~x], words[~x], cols[y], more[y])
+
+    def _portions(self, x, xw, y, yw):
+        if not len(x) or not len(y):
+            return
+        step = max(1, PORTION // (len(y) * xw.shape[1]))
+        for start in range(0, len(x), step):
+            p = x[start : start + step]
+            n, m = self.n[p][:, None], self.n[y][None]
+            r, q = np.nonzero((np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent) & (self.c[p][:, None] != self.c[y][None]) & (((self.block[p] == self.i)[:, None] & (self.block[y] == self.j)[None]) | ((self.block[p] == self.j)[:, None] & (self.block[y] == self.i)[None])))
+            if not len(r):
+                continue
+            differ = np.bitwise_count(xw[start + r] ^ yw[q]).sum(1, dtype=np.int64)
+            keep = _fits(self.n[p[r]], self.n[y[q]], differ, self.percent)
+            yield p[r[keep]], y[q[keep]], differ[keep]
+
+
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Numbers of the edges ``a - b`` of a cheapest spanning forest over the
+    components ``label``, which takes up their names."""
+    order = np.argsort(cost, kind="stable")
+    out = []
+    while True:
+        order = order[label[a[order]] != label[b[order]]]
+        if not len(order):
+            return np.concatenate(out) if out else np.zeros(0, np.int64)
+        first = np.full(len(label), len(order))
+        rank = np.arange(len(order))
+        np.minimum.at(first, label[a[order]], rank)
+        np.minimum.at(first, label[b[order]], rank)
+        chosen = order[np.unique(first[first < len(order)])]
+        out.append(chosen)
+        x, y = label[a[chosen]], label[b[chosen]]
+        root = np.arange(len(label))
+        while True:
+            low = root.copy()
+            np.minimum.at(low, x, root[y])
+            np.minimum.at(low, y, root[x])
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        label[:] = root[label]
+
+
+def _blocked(left: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """``left (tok, key, c)`` with columns of its sets, dealt to pairs of blocks
+    ``(tok, i, j)``, so no task holds a whole list."""
+    rows = left.join(sets.select("key", "n", *columns), "key")
+    sizes = rows.groupBy("tok").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("long").alias("blocks"))
+    rows = rows.join(sizes, "tok").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("tok", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "n", "c", *_words("w"))
+    rows = rows.select("tok", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "n", "c", *columns)
+    return rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j")
+
+
+def likely(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` that would join all components that meet in a list of ``left
+    (tok, key, c)`` and that bitmaps leave open: per pair of blocks a spanning
+    forest, the likest pairs first, so fewer pairs than rows."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in runs(frames, 3):
+            group = _Group(g, percent)
+            label = np.unique(group.c, return_inverse=True)[1]
+            for x, y, differ in group.pairs():
+                at = spanning(label, label[x], label[y], differ)
+                a, b = group.key[x[at]], group.key[y[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _blocked(left, sets, ["w"]).mapInArrow(run, "a long, b long").distinct()
+
+
+def still_open(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``left (tok, key, c)`` that have an open partner in their list."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in runs(frames, 3):
+            group = _Group(g, percent)
+            hit = np.zeros(len(group.key), bool)
+            for x, y, _ in group.pairs():
+                hit[x] = hit[y] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(hit.sum()), g["tok"][0].as_py())), pa.array(group.key[hit]), pa.array(group.c[hit])], names=["tok", "key", "c"])
+
+    return _blocked(left, sets, ["w"]).mapInArrow(run, "tok long, key long, c long").distinct()
+
+
+def certain(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that span all components that are linked within a list of
+    ``left (tok, key, c)``: every open pair is verified where its rows meet."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in runs(frames, 3):
-            block, key, n, c = (g[x].to_numpy() for x in ("block", "key", "n", "c"))
-            w = np.stack([g[x].to_numpy() for x in _words("w")], 1).view(np.uint64)
-            i, j = int(g["i"][0].as_py()), int(g["j"][0].as_py())
-            x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            for start in range(0, len(x), 128):
-                p = x[start : start + 128]
-                differ = np.bitwise_count(w[p][:, None] ^ w[y][None]).sum(2, dtype=np.int64)
-                m, o = n[p][:, None], n[y][None]
-                keep = (np.minimum(m, o) * 100 >= np.maximum(m, o) * percent) & (differ * (100 + percent) <= (m + o) * (100 - percent)) & (c[p][:, None] != c[y][None])
-                if i == j:
-                    keep &= key[p][:, None] < key[y][None]
-                r, q = np.nonzero(keep)
-                if len(r):
-                    first, second = key[p][r], key[y][q]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(first, second)), pa.array(np.maximum(first, second))], names=["a", "b"])
-
-    return rows.repartition("tok", "i", "j").sortWithinPartitions("tok", "i", "j").mapInArrow(run, "a long, b long").distinct()
+            group = _Group(g, percent)
+            s = g["s"].to_pylist()
+            label = np.unique(group.c, return_inverse=True)[1]
+            for x, y, differ in group.pairs():
+                out = []
+                for k in np.argsort(differ, kind="stable").tolist():
+                    i, j = x[k], y[k]
+                    if label[i] != label[j] and _linked(np.frombuffer(s[i], np.int64), np.frombuffer(s[j], np.int64), percent):
+                        label[label == label[j]] = label[i]
+                        out.append(k)
+                a, b = group.key[x[out]], group.key[y[out]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _blocked(left, sets, ["w", "s"]).mapInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(node, component)`` over class keys: classes that are linked, by hubs.
+    """``(node, component)`` over class keys: classes that are linked.
 
     Every pair of classes that reaches the threshold ends in one component, and
     no other pair is joined directly.
     """
-    posted = stored(postings(signed))
+    left = stored(postings(signed))
     reps = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    sets = stored(whole_sets(docs, reps.join(posted.select("key").distinct(), "key", "left_semi"), words, percent))
-    edges = seen = joined = None
-    narrow = sets.select("key", *_words("w"))
-    left = posted.join(narrow, "key").withColumn("c", F.col("key"))
-    for turn in range(HUB_ROUNDS + 1):
+    sets = stored(whole_sets(docs, reps.join(left.select("key").distinct(), "key", "left_semi"), words, percent))
+    left = left.withColumn("c", F.col("key"))
+    joined = None
+    for turn in range(HUB_ROUNDS + 2):
         if turn < HUB_ROUNDS:
-            hub = left.groupBy("tok").agg(F.min(F.struct("key", "n", "c")).alias("h")).select("tok", F.col("h.key").alias("hub"), F.col("h.n").alias("m"), F.col("h.c").alias("hc"))
-            hub = hub.join(narrow.select(F.col("key").alias("hub"), *[F.col(w).alias(v) for w, v in zip(_words("w"), _words("v"))]), "hub")
+            hub = left.groupBy("tok").agg(F.min(F.struct("key", "c")).alias("h")).select("tok", F.col("h.key").alias("hub"), F.col("h.c").alias("hc"))
             against = left.join(hub, "tok").where("key <> hub")
-            pairs = against.where((F.col("c") != F.col("hc")) & _alike("w", "n", "v", "m", percent)).select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-            left = against.select("tok", "key", "n", "c", *_words("w"))  # the hub is done in its lists
+            pairs = against.where("c <> hc").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+            found = stored(verify(pairs, sets, percent))
+            left = against.select("tok", "key", "c")  # the hub is done in its lists
+        elif turn == HUB_ROUNDS:
+            found = stored(verify(likely(left, sets, percent), sets, percent))
         else:
-            pairs = listed(left, percent)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        found = stored(verify(pairs, sets, percent))
-        edges = found if edges is None else edges.unionByName(found)
-        seen = pairs if seen is None else seen.unionByName(pairs)
+            left = stored(still_open(left, sets, percent))
+            found = stored(certain(left, sets, percent))
         # Components and their union are carried on, not all edges again.
-        joined = components(edges if joined is None else found.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        if turn == HUB_ROUNDS:
+        joined = components(found if joined is None else found.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if turn > HUB_ROUNDS:
             break
         left = left.drop("c").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
         open_ = left.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("tok")
@@ -316,34 +451,41 @@ def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataF
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``(doc_id, row, n_shingles, class_key, component_id)`` of every row of ``docs``.
+    """``(doc_id, row, n_shingles, class_key, group, component_id)`` of every row of
+    ``docs``.
 
     ``component_id`` is the smallest id that can be reached by links of pairs
-    whose Jaccard similarity is at least ``percent`` in a hundred.
+    whose Jaccard similarity is at least ``percent`` in a hundred (null if no such
+    row has an id); ``group`` is a key of the same component.
     """
-    signed = stored(signatures(docs, words, percent))
-    with temporary():  # the components are computed when they are returned
-        joined = links(docs, signed, words, percent)
+    with temporary() as scratch:
+        signed = scratch.keep(signatures(docs, words, percent))
+        joined = scratch.keep(links(docs, signed, words, percent))
     reps = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     named = reps.join(joined, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("g"))
     least = named.groupBy("g").agg(F.min("rep").alias("least"))
-    named = named.join(least, "g").select("key", "least")
+    named = named.join(least, "g").select("key", "g", "least")
     out = signed.select("doc_id", "row", "n", "key").join(named, "key", "left")
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.col("g").alias("group"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one with
-    the smallest id (of repeated rows with that id, one). Documents without words,
-    and groups without any id, stay.
+    """``docs`` with one row of each group of near duplicates: the one with the
+    smallest id, null last; of several with that id, the one whose key over all
+    columns is smallest, and of rows equal in all columns one. Texts without words
+    all stay. Columns beside ``doc_id`` and ``text`` are carried along, whatever
+    their names; an empty table gives an empty table.
     """
-    each = stored(near_duplicates(docs, words, percent).where("n_shingles > 0 and component_id is not null").select("doc_id", "row", "component_id"))
-    stays = each.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("stays"))
-    rows = each.groupBy("row").agg(F.count("*").alias("times")).join(stays, "row", "left")
-    rows = stored(rows.where("stays is null or times > 1").select(F.col("row").alias("_row"), F.coalesce("stays", F.lit(False)).alias("_stays")))
-    hit = docs.withColumn("_row", row_key()).join(rows, "_row", "left")
-    twice = hit.where("_stays").dropDuplicates(["_row"])
-    return hit.where("_stays is null").select(*docs.columns).unionByName(twice.select(*docs.columns))
+    key, stays = unused(docs, "row"), unused(docs, "stays")
+    with temporary() as scratch:
+        each = stored(near_duplicates(docs, words, percent).where("group is not null").select("doc_id", "row", "group"))
+        first = each.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
+        rows = each.groupBy("row").agg(F.count("*").alias("times")).join(first, "row", "left")
+        # Rows that stay and have no equal need no mention.
+        rows = scratch.keep(rows.where("stays is null or times > 1").select(F.col("row").alias(key), F.coalesce("stays", F.lit(False)).alias(stays)))
+    hit = docs.withColumn(key, key_of(docs, docs.columns)).join(rows, key, "left")
+    kept = hit.where(F.col(stays).isNull()).drop(key, stays)
+    return kept.unionByName(hit.where(stays).dropDuplicates([key]).drop(key, stays))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, stored, table
+from .common import key_of, stored, table, unused
 
 #: Two parts belong together when the gap between them is at most this long.
 SCOPE = 200
+#: Code points of a piece of a text that is being masked.
+CHUNK = 2048
 
 #: Strong kinds in their order: (kind, pattern, group that must be long, least length).
 STRONG = (
@@ -80,8 +82,9 @@ def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``(doc_id, found)``: all reported spans of every text.
 
-    ``found`` is an array of ``(start, ord, end, kind, strong)`` by start, then
-    kind; code points, end exclusive.
+    ``found`` is an array of ``(start, ord, end, kind, strong, before)`` by start,
+    then kind; code points, end exclusive; ``before`` is the largest end of the
+    spans that stand earlier in it, else 0.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     least = F.element_at(F.array(*[F.lit(k[3]) for k in (*STRONG, *WEAK)]), F.col("m.ord") + 1)
@@ -107,8 +110,11 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         rows = rows.withColumn(f"_{kind}", (F.col("ord") == KINDS.index(kind)) & F.coalesce((F.col("start") - before <= scope) | (after - F.col("end") <= scope), F.lit(False)))
     keep = (F.col("ord") < len(STRONG)) | F.coalesce(*[F.when(F.col(f"_{k[0]}"), True) for k in WEAK], F.lit(False))
     names = F.array(*[F.lit(k) for k in KINDS])
-    span = F.struct("start", "ord", "end", F.element_at(names, F.col("ord") + 1).alias("kind"), (F.col("ord") < len(STRONG)).alias("strong"))
-    rows = rows.withColumn("span", F.when(F.col("ord").isNotNull() & keep, span))
+    rows = rows.withColumn("ord", F.when(keep, F.col("ord")))
+    earlier = Window.partitionBy("_row").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.max(F.when(F.col("ord").isNotNull(), F.col("end"))).over(earlier), F.lit(0).cast("long")))
+    span = F.struct("start", "ord", "end", F.element_at(names, F.col("ord") + 1).alias("kind"), (F.col("ord") < len(STRONG)).alias("strong"), "before")
+    rows = rows.withColumn("span", F.when(F.col("ord").isNotNull(), span))
     return rows.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list("span")).alias("found")).drop("_row")
 
 
@@ -126,28 +132,41 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(strong), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
 
 
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end`` out of pieces of ``CHUNK`` code points: at
+    most two pieces are cut, so the cost doesn't grow with the place in the text."""
+    i, j = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    first, last = (start % CHUNK + 1).cast("int"), (end % CHUNK).cast("int")
+    at = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+    inside = F.substring(at(i), first, (end - start).cast("int"))
+    across = F.concat(F.substring(at(i), first, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(at(j), F.lit(1), last))
+    return F.when(i == j, inside).otherwise(across)
+
+
 def mask(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span replaced by its kind in brackets, and
     ``n_chars`` set to the new length where there is one.
-    """
-    keyed = docs.select(row_key().alias("doc_id"), "text")
-    found = stored(find_secrets(keyed, scope).where(F.size("found") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_key"), "found"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(a, s):
-        # A span inside what is masked already adds nothing; one that overlaps its end prolongs it.
-        new = F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], new).otherwise(a["out"]).alias("out"))
-
-    def end(a):
-        return F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.char_length("text")))
-
-    hit = docs.withColumn("_key", row_key()).join(found, "_key", "left")
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.aggregate("found", start, step, end))
+    A span inside an earlier one adds nothing, one that overlaps its end prolongs
+    it. A null text stays null, repeated rows stay as many as they are, other
+    columns are carried along whatever their names, and an empty table gives an
+    empty table. Spans come back to their texts by a key of the text.
+    """
+    key, spans, pieces = unused(docs, "key"), unused(docs, "spans"), unused(docs, "pieces")
+    keyed = docs.select(key_of(docs, ["text"]).alias("doc_id"), "text").where("text is not null")
+    found = find_secrets(keyed, scope).where(F.size("found") > 0).dropDuplicates(["doc_id"])
+    found = stored(found.select(F.col("doc_id").alias(key), F.col("found").alias(spans)))
+    hit = docs.withColumn(key, key_of(docs, ["text"])).join(found, key, "left")
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    hit = hit.withColumn(pieces, F.when(F.col(spans).isNotNull(), chunks))
+    new = F.filter(spans, lambda s: s["start"] >= s["before"])
+    parts = F.transform(new, lambda s: F.concat(_between(F.col(pieces), s["before"], s["start"]), F.lit("["), s["kind"], F.lit("]")))
+    tail = _between(F.col(pieces), F.array_max(F.transform(spans, lambda s: s["end"])), F.char_length("text").cast("long"))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), tail))
     hit = hit.withColumn("text", text)
     if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return hit.select(*docs.columns)
+        hit = hit.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return hit.drop(key, spans, pieces)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

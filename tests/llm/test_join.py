@@ -91,7 +91,60 @@ def test_prefix_lengths_are_safe():
 def test_parity_never_refutes_a_linked_pair():
     rng = random.Random(0)
     for _ in range(300):
-        a = {rng.getrandbits(60) for _ in range(rng.randrange(1, 400))}
-        b = set(list(a)[: rng.randrange(1, len(a) + 1)]) | {rng.getrandbits(60) for _ in range(rng.randrange(0, 30))}
-        x, y = (op.parity(op.np.array(sorted(s), op.np.int64)) for s in (a, b))
-        assert sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y) <= len(a ^ b)
+        a = {rng.getrandbits(60) for _ in range(rng.randrange(1, 900))}
+        b = set(list(a)[: rng.randrange(1, len(a) + 1)]) | {rng.getrandbits(60) for _ in range(rng.randrange(0, 90))}
+        x, y = (op.parity(op.np.array(sorted(s), op.np.int64))[None] for s in (a, b))
+        width = min(x.shape[1], y.shape[1])
+        assert op.np.bitwise_count(op.folded(x, width) ^ op.folded(y, width)).sum() <= len(a ^ b)
+
+
+def test_spanning_joins_what_edges_join():
+    rng = op.np.random.default_rng(5)
+    for _ in range(40):
+        n = int(rng.integers(1, 60))
+        a, b = rng.integers(0, n, (2, int(rng.integers(0, 120))))
+        label = op.np.arange(n)
+        taken = op.spanning(label, label[a], label[b], rng.integers(0, 5, len(a)))
+        parent = list(range(n))
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for k in taken:  # every edge taken joins two components
+            assert find(a[k]) != find(b[k])
+            parent[find(a[k])] = find(b[k])
+        assert all(find(x) == find(y) for x, y in zip(a, b)) and len({*label.tolist()}) == len({find(x) for x in range(n)})
+
+
+def test_no_step_makes_more_rows_than_postings(spark, monkeypatch):
+    """Each step's rows on one group whose members are alike and only partly linked."""
+    made = {}
+
+    def counted(name):
+        real = getattr(op, name)
+
+        def run(*given):
+            out = op.stored(real(*given))
+            made[name] = made.get(name, 0) + out.count()
+            return out
+
+        monkeypatch.setattr(op, name, run)
+
+    for name in ("likely", "still_open", "certain", "verify"):
+        counted(name)
+    size, limit = 400, op.Threshold(75)
+    rng = random.Random(size)
+    base = [f"q{i}" for i in range(60)]
+    texts = []
+    for i in range(size):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(60)] = f"e{i}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [((False, r["doc_id"]), r["n_shingles"], r["component_id"]) for r in op.near_duplicates(docs, 5, 75).collect()]
+    assert sorted(got) == brute(list(range(size)), texts, 5, 75)
+    postings = sum(limit.posted(r[1]) for r in got)
+    assert {"likely", "still_open", "certain"} <= set(made) and all(n <= postings for n in made.values()), (made, postings)
