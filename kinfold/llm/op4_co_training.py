@@ -2,15 +2,18 @@
 
 * The content view sees the characters and words of the text: shares of letter
   kinds and signs, repetition of words, word lengths, frequent words.
-* The metadata view sees what a page record says about it: source, language,
-  size, and the outline of its lines.
-
-Labelled rows start both classifiers. In each round every unlabelled document
-that one view is confident about becomes a pseudo-labelled row of the *other*
-view; both are fitted again, by Newton steps whose sums run over all rows on the
+* The metadata view sees the page as a record: source, language, stated size, and
+  the layout of its lines, never what stands in them. The record's fields alone
+  say nothing of quality in the tables at hand, so nothing could be exchanged.
+
+Labelled rows start both classifiers. In each round the unlabelled documents that
+one view is surest of, in either class, become pseudo-labelled rows of the *other*
+view (by quantiles of its log odds over all of them, so ties go together and views
+that tell nothing apart pass nothing on); both are fitted again, by Newton steps whose sums run over all rows on the
 executors. At last each view is calibrated on labelled rows that took no part in
-the fitting, and a logistic regression of the two log odds, on the same rows,
-combines them.
+the fitting (by a line through its log odds), and a logistic regression of the two
+calibrated log odds, on the same rows, combines them. Where those rows are of one
+class, calibration and combination use all labelled rows.
 
 Both feature tables are computed once from the whole texts and stored; texts are
 never shuffled.
@@ -36,8 +39,9 @@ from .common import fit_logistic, keep_rows, stored, table
 
 #: Rounds of exchanging pseudo-labels.
 ROUNDS = 2
-#: A view's label is passed on where its probability is at least this, for either class.
-CONFIDENT = 0.98
+#: A view passes on the labels of so large a share of what either class has by its
+#: share among the labels: the unlabelled rows that it is surest of.
+CONFIDENT = 0.1
 #: Weight of a pseudo-labelled row beside a labelled one.
 PSEUDO = 0.2
 #: Labelled rows in 1 of so many folds are kept for calibration.
@@ -169,19 +173,31 @@ def train(table_of_views: DataFrame, labels: DataFrame, rounds: int = ROUNDS, co
     w = {}
     for view, size in (("content", CONTENT), ("metadata", METADATA)):
         w[view] = fit_logistic(rows.where(learned).select(view, "_label", F.lit(1.0).alias("_w")), view, "_label", "_w", size, l2=1.0, rounds=8)
-    edge = float(np.log(confident / (1 - confident)))
+    good = sizes.get(1, 0) / sum(sizes.values())
     for _ in range(rounds):
         before = dict(w)
         for view, other, size in (("content", "metadata", CONTENT), ("metadata", "content", METADATA)):
             says = _odds(other, before[other])
-            given = F.when(learned, F.col("_label")).when(F.col("_label").isNull() & (says >= edge), 1).when(F.col("_label").isNull() & (says <= -edge), 0)
+            open_ = rows.where("_label is null").select(F.percentile_approx(says, F.array(F.lit((1 - good) * confident), F.lit(1 - good * confident)), 10_000).alias("q")).first()["q"]
+            low, high = open_ if open_ and open_[0] < open_[1] else (-np.inf, np.inf)
+            given = F.when(learned, F.col("_label")).when(F.col("_label").isNull() & (says >= float(high)), 1).when(F.col("_label").isNull() & (says <= float(low)), 0)
             fed = rows.select(view, given.alias("_y"), F.when(learned, F.lit(1.0)).otherwise(F.lit(PSEUDO)).alias("_w")).where("_y is not null")
             w[view] = fit_logistic(fed, view, "_y", "_w", size, l2=1.0, rounds=3, start=before[view])
-    held = rows.where((F.col("_label").isNotNull()) & (F.col("_fold") == 0))
-    both = held.select(F.array(F.lit(1.0), _odds("content", w["content"]) / 4, _odds("metadata", w["metadata"]) / 4).alias("x"), F.col("_label").alias("y"), F.lit(1.0).alias("w"))
-    n_held = {r["y"] for r in both.select("y").distinct().collect()}
-    combine = fit_logistic(both, "x", "y", "w", 3, l2=0.1, rounds=10) if len(n_held) == 2 else np.array([0.0, 4.0, 0.0])
-    return {"content": w["content"], "metadata": w["metadata"], "combine": combine}
+    held = rows.where(F.col("_label").isNotNull() & (F.col("_fold") == 0))
+    if held.select("_label").distinct().count() < 2:
+        held = rows.where("_label is not null")
+    out: dict = dict(w)
+    for view in ("content", "metadata"):
+        one = held.select(F.array(F.lit(1.0), _odds(view, w[view]) / 4).alias("x"), F.col("_label").alias("y"), F.lit(1.0).alias("w"))
+        out[f"{view}_line"] = fit_logistic(one, "x", "y", "w", 2, l2=0.1, rounds=10)
+    both = held.select(F.array(F.lit(1.0), *[_calibrated(view, out) / 4 for view in ("content", "metadata")]).alias("x"), F.col("_label").alias("y"), F.lit(1.0).alias("w"))
+    return out | {"combine": fit_logistic(both, "x", "y", "w", 3, l2=0.1, rounds=10)}
+
+
+def _calibrated(view: str, model: dict) -> F.Column:
+    """The calibrated log odds of a view."""
+    a, b = model[f"{view}_line"]
+    return F.lit(float(a)) + _odds(view, model[view]) / 4 * float(b)
 
 
 def score(table_of_views: DataFrame, model: dict) -> DataFrame:
@@ -191,23 +207,25 @@ def score(table_of_views: DataFrame, model: dict) -> DataFrame:
         p = F.lit(model["constant"])
     else:
         c = model["combine"]
-        z = F.lit(float(c[0])) + _odds("content", model["content"]) / 4 * float(c[1]) + _odds("metadata", model["metadata"]) / 4 * float(c[2])
+        z = F.lit(float(c[0])) + _calibrated("content", model) / 4 * float(c[1]) + _calibrated("metadata", model) / 4 * float(c[2])
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
     return table_of_views.select("doc_id", p.alias("score")).withColumn("keep", F.col("score") >= 0.5)
 
 
 def keep_good(docs: DataFrame, model: dict) -> DataFrame:
-    """The documents that the model keeps, with all their columns."""
+    """The documents that the model keeps, with all their columns, whatever their
+    names; null texts are judged as empty ones, repeated rows alike, and an empty
+    table gives an empty table."""
 
     def judge():
         def decide(f: pa.RecordBatch) -> list[bool]:
             if "constant" in model:
                 return [model["constant"] >= 0.5] * f.num_rows
             given = [f.column(c).to_pylist() if c in f.schema.names else [None] * f.num_rows for c in ("text", "source", "lang", "n_chars")]
-            c = model["combine"]
+            c, (a0, a1), (b0, b1) = model["combine"], model["content_line"], model["metadata_line"]
             out = []
             for t, s, g, n in zip(*given, strict=True):
-                z = c[0] + content_view(t or "") @ model["content"] / 4 * c[1] + metadata_view(t or "", s, g, n) @ model["metadata"] / 4 * c[2]
+                z = c[0] + (a0 + content_view(t or "") @ model["content"] / 4 * a1) / 4 * c[1] + (b0 + metadata_view(t or "", s, g, n) @ model["metadata"] / 4 * b1) / 4 * c[2]
                 out.append(bool(z >= 0))
             return out
 

@@ -43,12 +43,11 @@ def _letters() -> np.ndarray:
     global _LETTERS
     if _LETTERS is None:
         out = np.full(0x110000, 32, np.uint32)
-        for c in range(0x30000):
+        for c in range(0x110000):
             ch = chr(c)
             if ch.isalpha():
                 low = ch.lower()
                 out[c] = ord(low) if len(low) == 1 else c
-        out[0x30000:0x32000] = np.arange(0x30000, 0x32000)
         _LETTERS = out
     return _LETTERS
 
@@ -165,7 +164,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
             out = []
             for key, text, lang in zip(f["doc_id"], f["text"], f["lang"], strict=True):
                 if got := grams(text):
-                    out.append((str(key), lang, got[0].astype("<u2").tobytes(), np.minimum(got[1], 65535).astype("<u2").tobytes()))
+                    out.append((str(key), lang, got[0].astype("<u2").tobytes(), got[1].astype("<u4").tobytes()))
             yield pd.DataFrame(out, columns=["key", "lang", "at", "counts"])
 
     sample = known.where(F.col("doc_id").isin(picks)).select("doc_id", "text", "lang").mapInPandas(features, "key string, lang string, at binary, counts binary").dropDuplicates(["key", "lang"])
@@ -173,7 +172,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     rows = []
     for r in got:
         at = np.frombuffer(r["at"], "<u2").astype(np.int64)
-        rows.append((at, weighed(at, np.frombuffer(r["counts"], "<u2").astype(np.float32), idf), langs.index(r["lang"])))
+        rows.append((at, weighed(at, np.frombuffer(r["counts"], "<u4").astype(np.float32), idf), langs.index(r["lang"])))
     held = np.random.default_rng(2).random(len(rows)) < CALIBRATION
     weights = fit_ftrl([r for r, h in zip(rows, held, strict=True) if not h], len(langs))
     temperature = fit_temperature([(x @ weights[at], y) for (at, x, y), h in zip(rows, held, strict=True) if h])

@@ -62,8 +62,9 @@ class WordMemo:
             return b""
         if _ODD_SPACE.search(text):  # white space to Python alone
             return self._ids(text)
-        if "<|" not in text and (text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text)):
-            text = text.lower()  # as the tokenizer does; special strings are case-sensitive
+        low = text.lower()  # as the tokenizer does, but it composes before that and never after
+        if "<|" not in text and (text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+            text = low  # special strings are case-sensitive
             if not _SIGN_RUN.search(text):  # single signs are words of their own
                 text = text.replace(".", " . ").replace(",", " , ")
         words = text.split()

@@ -58,7 +58,7 @@ LEET = {
 }
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Costs of the channel, in nats.
-SUBSTITUTE, COLLAPSE, KEEP_REPEAT, DROP, WILD = 1.0, 0.3, 3.0, 7.0, 4.0
+SUBSTITUTE, COLLAPSE, KEEP_REPEAT, DROP, WILD, SPLIT = 1.0, 0.3, 3.0, 7.0, 4.0, 0.5
 
 _TABLE: np.ndarray | None = None
 
@@ -104,9 +104,10 @@ def costs_of(counts: np.ndarray) -> np.ndarray:
     return -np.log(0.7 * p3 + 0.2 * p2[None] + 0.1 * p1[None, None]).astype(np.float32)
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
+def lattice(word: str, run: bool = False) -> list[list[tuple[str, float]]]:
     """For each run of equal characters: the strings it may stand for, with
-    the channel's cost."""
+    the channel's cost. A separator may be the end of a word; where letters stood
+    apart (``run``), so may every place between two of them."""
     out = []
     i = 0
     while i < len(word):
@@ -116,24 +117,29 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         c, n = word[i], j - i
         if c.isalpha():
             options = [(c, 0.0 if n == 1 else COLLAPSE if n > 2 else KEEP_REPEAT), *([(c + c, 0.0 if n == 2 else COLLAPSE + 0.5)] if n > 1 else [])]
+            if run and n > 1:
+                options.append((f"{c} {c}", SPLIT + (COLLAPSE + 0.5) * (n > 2)))
         elif c in LEET:
             options = [(o * min(k, 2), SUBSTITUTE) for o in LEET[c] for k in {1, n}]
             options.append(("", DROP * n))
         elif c == "*":
             options = [(o, WILD) for o in _LETTERS] if n == 1 else [("", DROP)]
         else:
-            options = [("", 0.1)]  # a separator
+            options = [("", 0.1), (" ", SPLIT)]  # a separator
+        if run and out:
+            out.append([("", 0.0), (" ", SPLIT)])
         out.append(options)
         i = j
     return out
 
 
-def restore(word: str, cost: np.ndarray) -> str:
-    """The likeliest word behind ``word``: Viterbi search over its lattice. Paths
-    share what they have in common, so the cost is linear in the length."""
+def restore(word: str, cost: np.ndarray, run: bool = False) -> str:
+    """The likeliest word or words behind ``word``, blanks between them: Viterbi
+    search over its lattice. Paths share what they have in common, so the cost is
+    linear in the length."""
     ids = letter_ids()
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for options in lattice(word):
+    for options in lattice(word, run):
         after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (total, made) in states.items():
             for piece, extra in options:
@@ -182,7 +188,10 @@ class Reader:
             core = word.strip(".,;:?\"'()[]{}<>…¡¿«»“”‘’")
             forms = {core.strip("!*_-~")}
             if len(core) >= 2 and _disguised(core):
-                forms.add(restore(core, self.cost))
+                restored = restore(core, self.cost).split()
+                forms.update(restored, ["".join(restored)])
+            if run:
+                forms.update(restore(core, self.cost, True).split())
             made = {_feature(f) for f in forms if f} | {_feature(f"{p}^{f[:p]}") for f in forms for p in PREFIXES if len(f) >= p}
             if self.only is not None:
                 made &= self.only

@@ -10,6 +10,20 @@ from kinfold.llm import op4_co_training as op
 DATA = "/root/testdata/sf0.01"
 
 
+@pytest.mark.skipif(not os.path.exists(DATA), reason="test tables are not here")
+def test_accuracy_on_labels_left_out_and_the_exchange(spark):
+    """Every fifth label is left out of fitting; without the exchange other models come out."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    seen = op.stored(op.views(docs))
+    model = op.train(seen, labels.where("doc_id % 5 <> 0"))
+    alone = op.train(seen, labels.where("doc_id % 5 <> 0"), rounds=0)
+    for view in ("content", "metadata"):
+        assert np.abs(model[view] - alone[view]).max() > 1e-3
+    rows = op.score(seen, model).join(labels.where("doc_id % 5 = 0"), "doc_id").collect()
+    good, bad = ([r["keep"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert len(bad) >= 5 and np.mean(good) > 0.97 and np.mean(bad) < 0.15
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="test tables are not here")
 def test_accuracy(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")

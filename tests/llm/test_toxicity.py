@@ -32,6 +32,16 @@ def test_the_reader_decodes_heavy_disguises(spark):
         assert not op._disguised(plain)
 
 
+def test_runs_of_letters_find_their_words(spark):
+    sentences = ["you are an idiot", "the stupid moron sat near scum", "you idiot and your cats", "dogs are near the trash", "an owl sat today"]
+    cost = op.costs_of(op.count_trigrams(spark.createDataFrame([(" . ".join(sentences * 50),)], "text string")))
+    for words in ("you idiot", "you are an idiot", "the stupid moron sat near scum"):
+        assert op.restore(words.replace(" ", ""), cost, True).split() == words.split()
+    for words in ("you idiot", "the trash"):
+        assert {op._feature(w) for w in words.split()} <= op.Reader(cost).text(" ".join(words.replace(" ", "")))[0]
+    assert {op._feature(w) for w in ("moron", "idiot")} <= op.Reader(cost).text("moron-1d1ot")[0]
+
+
 def test_long_runs_and_words_are_read_in_full(spark):
     text = " ".join([*WORDS, "you", "are"] * 50)
     cost = op.costs_of(op.count_trigrams(spark.createDataFrame([(text,)], "text string")))
