@@ -178,6 +178,6 @@ def runs(frames: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Rows of equally long little-endian float64 vectors."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
+def matrix(column: pa.ChunkedArray, code: str = "<f8") -> np.ndarray:
+    """Rows of equally long vectors of numbers of kind ``code``, in double precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), code).reshape(len(column), -1).astype(float)

@@ -3,28 +3,33 @@
 Fitting: a bounded sample is split in two again and again, at the median along
 the line between two centres, so lists come out balanced; the parts' means are
 the centroids. Centroids are linked to their nearest ones in a graph that is held
-in memory and searched best-first; the number of centroids grows with the square
-root of the table and has a fixed bound, so the graph that goes to the executors
-is at most a few MB.
+in memory and searched best-first; their number grows with the table up to a fixed
+bound, so the graph that goes to the executors is at most a few MB. Beyond that
+bound lists grow with the table, in blocks over as many tasks.
 
 Indexing: every vector finds its nearest centroids by the graph. It goes to the
-list of the nearest one and, as a boundary vector, to the lists of others that
-are almost as near, unless a chosen centroid is nearer to that centroid.
+list of the nearest one and, as a boundary vector, to the lists of ``COPIES`` others
+that are almost as near.
 
-Searching: a query takes the lists whose centroid is at most ``1 + PRUNE`` times
-as far as its nearest one. Lists are cut into blocks, so no task holds a whole
-hot list; each task gives its nearest few per query. Distances are computed in
-double precision on the original vectors.
+Searching: a query takes the lists whose centroid is at most ``1 + prune`` times
+as far as its nearest one; the graph is walked from near to far and left where
+centroids are farther than that. The ratio is set on the sample: the least one by
+which ``RECALL`` of the sample's own nearest neighbours would be met. Data with
+clusters need few lists, uniform data in many dimensions a third and more. Lists
+are cut into blocks, so no task holds a whole hot list; each task gives its nearest
+few per query. Distances are computed in double precision on the original vectors.
 
 Equal vectors are one class with its smallest ids (as many as can be asked for),
 so copies are neither lost nor multiplied. Defined cases: vectors that are null,
 empty, zero or hold a null or non-finite component take no part, nor do vectors
-of another length than most; with fewer than ``k`` other vectors all are returned;
-ties go to the smaller id.
+of another length than most, for which no distance is defined; with fewer than
+``k`` other vectors all are returned; ties go to the smaller id; an empty table
+gives no rows; repeated rows and ids count each; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Iterator
 
@@ -38,14 +43,17 @@ from .common import matrix, runs, stored, table, usable
 K = 10
 #: Bound of the sample that the centroids are fitted on.
 SAMPLE = 20_000
-#: Bounds of the number of centroids; between them, the square root of the rows.
-LEAST_LISTS, MOST_LISTS = 4, 4096
+#: Bounds of the number of centroids; between them, one for so many rows.
+LEAST_LISTS, MOST_LISTS, LIST = 4, 4096, 192
 #: Neighbours of a centroid in the graph, and width of the search for it.
 DEGREE, BEAM = 16, 24
 #: A boundary vector's other lists: at most so many, at most so much farther.
-COPIES, BOUNDARY = 3, 0.10
-#: Lists of a query: centroids at most 1 + PRUNE times as far as the nearest.
-PRUNE = 0.25
+COPIES, BOUNDARY = 1, 0.01
+#: The share of the sample's neighbours that the ratio must meet, and how many of
+#: its rows ask for them.
+RECALL, TUNERS = 0.94, 400
+#: How much farther than the ratio the graph is walked, for centroids behind others.
+SLACK = 0.05
 #: Rows of a posting block, and queries that meet it at a time.
 BLOCK, QUERIES = 2048, 512
 
@@ -70,96 +78,149 @@ def balanced(x: np.ndarray, leaf: int, seed: int = 3) -> np.ndarray:
     return np.array(out)
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``a`` and ``b``, good enough for choosing lists."""
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
+
+
 class Graph:
     """Centroids, each linked to its nearest ones, searched best-first."""
 
     def __init__(self, centroids: np.ndarray, degree: int = DEGREE):
         self.x = centroids
+        self.square = (centroids * centroids).sum(1)
         n = len(centroids)
-        links = []
-        for i in range(0, n, 256):
-            d = ((centroids[i : i + 256, None] - centroids[None]) ** 2).sum(2)
-            links.append(np.argsort(d, 1, kind="stable")[:, 1 : degree + 1])
-        near = np.concatenate(links) if n > 1 else np.zeros((1, 1), np.int64)
+        near = np.concatenate([np.argsort(distances(centroids[i : i + 256], centroids), 1, kind="stable")[:, 1 : degree + 1] for i in range(0, n, 256)]) if n > 1 else np.zeros((1, 1), np.int64)
         # Long links keep the graph in one piece.
         far = np.random.default_rng(n).integers(0, n, (n, 4))
         self.links = np.concatenate([near, far], 1)
         self.entries = np.unique(np.linspace(0, n - 1, min(n, 24)).astype(int))
+        self.prune = 0.0
+
+    def _far(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((q * q).sum(1)[:, None] + self.square[at] - 2 * np.einsum("rd,rkd->rk", q, self.x[at]), 0))
 
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``width`` nearest centroids found for each row of ``q``: numbers
-        and distances, nearest first; -1 and inf where fewer were met."""
-        rows, n = len(q), len(self.x)
-        each = np.arange(rows)[:, None]
-        seen = np.zeros((rows, n), bool)
-        done = np.zeros((rows, n), bool)
-        far = np.full((rows, n), np.inf)
-
-        def visit(at: np.ndarray) -> None:
-            new = ~seen[each, at]
-            r, c = np.nonzero(new)
-            if len(r):
-                far[r, at[r, c]] = np.sqrt(((q[r] - self.x[at[r, c]]) ** 2).sum(1))
-                seen[r, at[r, c]] = True
-
-        visit(np.broadcast_to(self.entries, (rows, len(self.entries))))
-        width = min(width, n)
-        while True:
-            best = np.argpartition(far, width - 1, 1)[:, :width]
-            open_ = np.where(done[each, best], np.inf, far[each, best])
-            at = best[each, np.argpartition(open_, min(3, width - 1), 1)[:, :4]]
-            live = np.isfinite(np.where(done[each, at], np.inf, far[each, at]))
-            if not live.any():
+        and distances, nearest first; -1 and inf where fewer were met. Rows hold
+        ``width`` centroids each, whatever their number."""
+        ids = np.full((len(q), width), -1)
+        far = np.full((len(q), width), np.inf)
+        done = np.ones((len(q), width), bool)
+        live, new = np.arange(len(q)), np.broadcast_to(self.entries, (len(q), len(self.entries)))
+        while len(live):
+            every = np.concatenate([ids[live], new], 1)
+            d = np.concatenate([far[live], self._far(q[live], new)], 1)
+            read = np.concatenate([done[live], np.zeros(new.shape, bool)], 1)
+            order = np.argsort(every, 1, kind="stable")  # of equal ones, that of the pool comes first
+            named = np.take_along_axis(every, order, 1)
+            again = np.zeros(named.shape, bool)
+            again[:, 1:] = named[:, 1:] == named[:, :-1]
+            rows = np.arange(len(live))[:, None]
+            d[rows, np.where(again, order, order[:, :1])] = np.where(again, np.inf, d[rows, order[:, :1]])
+            best = np.argsort(d, 1, kind="stable")[:, :width]
+            ids[live], far[live], done[live] = (np.take_along_axis(c, best, 1) for c in (every, d, read))
+            done[live] |= ~np.isfinite(far[live])
+            open_ = ~done[live]
+            some = open_.any(1)
+            live, open_ = live[some], open_[some]
+            if len(live):
+                at = np.argsort(~open_, 1, kind="stable")[:, :4]  # the nearest unread; where fewer are left, nearest read ones again
+                done[live[:, None], at] = True
+                new = self.links[np.maximum(ids[live[:, None], at], 0)].reshape(len(live), -1)
+        return np.where(np.isfinite(far), ids, -1), far
+
+    def within(self, q: np.ndarray, ratio: float, sizes: np.ndarray, least: int) -> list[int]:
+        """Lists of one query, nearest first: those at most ``1 + ratio`` times as far
+        as the nearest, and as many as hold ``least`` vectors. The graph is walked
+        from near to far; what lies beyond is not read."""
+        seen = np.zeros(len(self.x), bool)
+        seen[self.entries] = True
+        heap = list(zip(self._far(q[None], self.entries[None])[0].tolist(), self.entries.tolist(), strict=True))
+        heapq.heapify(heap)
+        read: list[tuple[float, int]] = []
+        nearest, held = np.inf, 0
+        while heap:
+            d, at = heapq.heappop(heap)
+            if d > (1 + ratio) * (1 + SLACK) * nearest and len(read) >= BEAM and held >= least:
                 break
-            done[each, at] = True
-            visit(self.links[at].reshape(rows, -1))
-        best = np.argsort(far, 1, kind="stable")[:, :width]
-        d = far[each, best]
-        return np.where(np.isfinite(d), best, -1), d
-
-
-def fit(classes: DataFrame, rows: int, dims: int, sample: int = SAMPLE, lists: int | None = None) -> Graph:
-    """The graph of centroids for ``rows`` vectors of ``dims`` components."""
-    lists = lists or int(min(MOST_LISTS, max(LEAST_LISTS, round(rows**0.5))))
+            nearest, held = min(nearest, d), held + int(sizes[at])
+            read.append((d, at))
+            new = self.links[at]
+            new = np.unique(new[~seen[new]])
+            if len(new):
+                seen[new] = True
+                for x in zip(self._far(q[None], new[None])[0].tolist(), new.tolist(), strict=True):
+                    heapq.heappush(heap, x)
+        out, held = [], 0
+        for d, at in sorted(read):
+            if d > (1 + ratio) * nearest and held >= least:
+                break
+            out.append(at)
+            held += int(sizes[at])
+        return out
+
+
+def tuned(graph: Graph, x: np.ndarray, k: int, recall: float = RECALL) -> float:
+    """The least ratio at which ``recall`` of the ``k`` nearest rows of ``x`` of
+    ``TUNERS`` of its rows stand in a list that is searched. Of a sample, ``k`` is as
+    much smaller as it has fewer rows than the table."""
+    ask = np.random.default_rng(6).permutation(len(x))[:TUNERS]
+    needed = []
+    for i in range(0, len(ask), 50):
+        part = ask[i : i + 50]
+        d = distances(x[part], x)
+        d[np.arange(len(part)), part] = np.inf
+        near = np.argsort(d, 1)[:, : min(k, len(x) - 1)]
+        to = distances(x[part], graph.x)
+        for r in range(len(part)):
+            lists: dict[int, list[int]] = {}
+            for row, at in _lists(graph, x[near[r]]):
+                lists.setdefault(row, []).append(at)
+            needed += [to[r, at].min() / max(to[r].min(), 1e-12) - 1 for at in lists.values()]
+    return float(np.quantile(needed, recall)) + 1e-9 if needed else 0.0
+
+
+def fit(classes: DataFrame, rows: int, dims: int, sample: int = SAMPLE, lists: int | None = None, k: int = K) -> Graph:
+    """The graph of centroids for ``rows`` vectors of ``dims`` components, with the
+    ratio to search it by."""
+    lists = lists or int(min(MOST_LISTS, max(LEAST_LISTS, rows // LIST)))
     spread = F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(1_000_000))
     chosen = classes.where(spread < int(min(1.0, sample / max(1, rows)) * 1_000_000) + 1).select("v")
     x = np.array([r["v"] for r in itertools.islice(chosen.toLocalIterator(), 2 * sample)], float).reshape(-1, dims)
     x = x[np.lexsort(x.T)] if len(x) else np.zeros((1, dims))
-    return Graph(balanced(x[:sample] if len(x) <= sample else x[np.random.default_rng(1).permutation(len(x))[:sample]], max(1, len(x) // lists)))
+    x = x if len(x) <= sample else x[np.random.default_rng(1).permutation(len(x))[:sample]]
+    graph = Graph(balanced(x, max(1, len(x) // lists)))
+    graph.prune = tuned(graph, x, max(1, -(-k * len(x) // max(rows, 1))))
+    return graph
 
 
 def _lists(graph: Graph, x: np.ndarray) -> Iterator[tuple[int, int]]:
     """(row, list) of the lists that each row of ``x`` is posted to."""
     for i in range(0, len(x), 512):
         at, d = graph.search(x[i : i + 512], BEAM)
-        for r in range(len(at)):
-            chosen = [int(at[r, 0])]
-            yield i + r, chosen[0]
-            for c, far in zip(at[r, 1:].tolist(), d[r, 1:].tolist(), strict=True):
-                if len(chosen) > COPIES or c < 0 or far > (1 + BOUNDARY) * d[r, 0]:
-                    break
-                if all(((graph.x[c] - graph.x[o]) ** 2).sum() > far * far for o in chosen):
-                    chosen.append(c)
-                    yield i + r, c
+        near = (at >= 0) & (d <= (1 + BOUNDARY) * d[:, :1])
+        near[:, 0], near[:, COPIES + 1 :] = True, False
+        r, c = np.nonzero(near)
+        yield from zip((i + r).tolist(), at[r, c].tolist(), strict=True)
 
 
 def _probes(graph: Graph, x: np.ndarray, prune: float, sizes: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """(row, list) of the lists that each row of ``x`` searches: those the ratio
-    selects, and the nearest ones until they hold ``least`` vectors."""
-    width = len(graph.x)
-    for i in range(0, len(x), 256):
-        at, d = graph.search(x[i : i + 256], width)
-        held = np.where(at >= 0, sizes[at], 0)
-        r, c = np.nonzero((at >= 0) & ((d <= (1 + prune) * d[:, :1]) | (np.cumsum(held, 1) - held < least)))
-        yield from zip((i + r).tolist(), at[r, c].tolist(), strict=True)
+    """(row, list) of the lists that each row of ``x`` searches."""
+    for r in range(len(x)):
+        for at in graph.within(x[r], prune, sizes, least):
+            yield r, at
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, prune: float = PRUNE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, prune: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows of ``vectors``
-    that were found for each row of ``queries``, its own row left out."""
+    that were found for each row of ``queries``, its own row left out. ``prune``:
+    the ratio to search by, else that set on the sample."""
+    narrow = all(df.schema[vector].dataType.simpleString() == "array<float>" for df in (vectors, queries))
+    kind, code = ("array<float>", "<f4") if narrow else ("array<double>", "<f8")  # as wide as the input
 
     def clean(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable("v") & F.col("id").isNotNull())
+        rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where(usable("v") & F.col("id").isNotNull())
         return rows.withColumn("cid", F.xxhash64("v"))
 
     every, asked = clean(vectors), clean(queries)
@@ -172,18 +233,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, prune: float = PR
     size, rows = dims[0]["d"], dims[0]["n"]
     classes = classes.where(F.size("v") == size)
     asked = asked.where(F.size("v") == size)
-    graph = fit(classes, rows, size)
+    graph = fit(classes, rows, size, k=k)
+    prune = graph.prune if prune is None else prune
 
     def assign(pick, probe: int):
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for f in frames:
                 for start in range(0, f.num_rows, 1024):
                     part = f.slice(start, 1024)
-                    x = np.array(part.column(1).flatten()).reshape(part.num_rows, -1)
-                    found = list(pick(x))
+                    own = np.array(part.column(1).flatten(), code).reshape(part.num_rows, -1)
+                    found = list(pick(own.astype(float)))
                     if found:
                         at, lists = (np.array(c) for c in zip(*found, strict=True))
-                        raw = [r.astype("<f8").tobytes() for r in x]
+                        raw = [r.tobytes() for r in own]
                         for i in range(0, len(at), 4096):
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(lists[i : i + 4096], pa.int64()), pa.array(np.full(len(at[i : i + 4096]), probe), pa.int64()), part.column(0).take(pa.array(at[i : i + 4096])), part.column(2).take(pa.array(at[i : i + 4096])), pa.array([raw[j] for j in at[i : i + 4096]], pa.binary())],
@@ -212,7 +274,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, prune: float = PR
     def nearest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(frames, 3):
             probe = group["probe"].to_numpy()
-            cid, first, x = group["cid"].to_numpy(), group["first"].to_numpy(), matrix(group["vector"])
+            cid, first, x = group["cid"].to_numpy(), group["first"].to_numpy(), matrix(group["vector"], code)
             rows_, ask = np.flatnonzero(probe == 1), np.flatnonzero(probe == 0)
             if not len(rows_) or not len(ask):
                 continue

@@ -32,6 +32,47 @@ def test_recall(spark):
         assert r["score"] == pytest.approx(np.sqrt(((x[place[r["vec_id"]]] - x[place[r["query_id"]]]) ** 2).sum()), abs=1e-12)
 
 
+def scanned(x, k=10):
+    """Recall, share of all vectors that queries scan, and copies a vector, by the module's own parts."""
+    graph = op.Graph(op.balanced(x, max(1, len(x) // (len(x) // 32))))
+    prune = op.tuned(graph, x, k)
+    lists = {}
+    for row, at in op._lists(graph, x):
+        lists.setdefault(at, []).append(row)
+    sizes = np.array([len(lists.get(i, ())) for i in range(len(graph.x))])
+    hits = work = 0
+    asked = range(0, len(x), 20)
+    for q in asked:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        found = [lists.get(at, []) for _, at in op._probes(graph, x[[q]], prune, sizes, 1)]
+        work += sum(map(len, found))
+        hits += len({*np.argsort(d)[:k].tolist()} & {r for f in found for r in f})
+    return hits / k / len(asked), work / len(asked) / len(x), sizes.sum() / len(x) - 1
+
+
+def test_lists_select_on_clustered_vectors():
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(60, 24)), 70, 0) + 0.35 * rng.normal(size=(4200, 24))
+    recall, share, copies = scanned(x)
+    assert recall >= 0.9 and share < 0.15 and copies > 0.05, (recall, share, copies)
+
+
+def test_uniform_vectors_are_the_hard_case():
+    recall, share, _ = scanned(np.random.default_rng(5).normal(size=(4000, 24)))
+    assert recall >= 0.9 and share < 0.75, (recall, share)
+
+
+def test_the_graph_finds_what_a_scan_finds():
+    rng = np.random.default_rng(6)
+    graph = op.Graph(rng.normal(size=(700, 12)))
+    q = rng.normal(size=(80, 12))
+    at, d = graph.search(q, 24)
+    full = op.distances(q, graph.x)
+    assert (np.diff(d) >= 0).all() and np.allclose(np.take_along_axis(full, at, 1), d)
+    assert np.mean([len({*a.tolist()} & {*np.argsort(f)[:10].tolist()}) for a, f in zip(at, full)]) >= 9.5
+
+
 def test_copies_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(op, "BLOCK", 16)
     monkeypatch.setattr(op, "QUERIES", 2)
