@@ -3,19 +3,23 @@
 Equal vectors of one label are one class. Each class is turned by pseudo-random
 rotations (sign flips and fast Hadamard transforms, three times), and its bucket
 in a table is the pair of nearest signed axes of two rotations. A class stands in
-its own bucket and, as a probe, in the buckets that are next nearest. Within a
-bucket, probes and residents are compared with residents; a pair is linked only
-if its cosine in double precision reaches the threshold, so hashing decides what
-is found, never what is right.
+its own bucket and, as a probe, in the buckets that are next nearest. A bucket's row
+is a class id and a sketch, the signs of the rotated vector: within a bucket, probes
+and residents are compared with residents by their sketches, and those that may
+reach the threshold are candidates.
 
-A pair that several tables find is counted in the first alone: rows carry their
-hashes of all tables, so no list of pairs is ever built or shuffled. Buckets are
-split into blocks, and tasks take pairs of blocks; each gives back one count per
-vector and a spanning forest, not its pairs.
+Candidates are given back as a spanning forest per block, never as pairs, and
+joined into groups. Vectors are shuffled for classes of a group alone, once for each
+pair of blocks of it: there all pairs are verified, and a pair is linked if its
+cosine in double precision reaches the threshold. So hashing decides which vectors
+meet, never what is right. Tasks take pairs of blocks of buckets and of groups; each
+gives back one count per vector and a spanning forest.
 
 Defined cases: a null label, or a vector that is null, empty, zero or holds a null
 or non-finite component, links with nothing; vectors of different lengths are
-never compared; rows with equal ids stay separate rows.
+never compared; rows with equal ids stay separate rows; null ids name no component
+unless they stand alone; an empty table gives no rows; other columns are not looked
+at. Classes are named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, matrix, runs, stored, table, usable
+from .common import components, runs, stored, table, temporary, usable
 
 THRESHOLD = 0.93
 #: Hash tables, and probes of each beside the own bucket.
 TABLES, PROBES = 6, 3
-#: Rows of a block, about; a task holds two.
-BLOCK = 512
+#: Rotations whose signs make up a sketch, and how many standard deviations of the
+#: bits in which vectors at the threshold differ a candidate may have more.
+SKETCH, MARGIN = 4, 6.0
+#: Rows of a block, about; a task holds two. Cells that are compared at a time.
+BLOCK, PORTION = 2048, 1 << 20
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -58,18 +65,22 @@ def rotations(x: np.ndarray, number: int, seed: int) -> np.ndarray:
     return y
 
 
-def hashes(x: np.ndarray, seed: int = 9, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
-    """Buckets of unit rows: (rows, tables, 1 + probes), the own bucket first.
+def hashes(x: np.ndarray, seed: int = 9, tables: int = TABLES, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of unit rows, (rows, tables, 1 + probes), the own bucket first, and
+    their sketches, (rows, words of 64 signs).
 
     A bucket joins the nearest axes of two rotations. Probes move one of them, or
     both, to the second nearest axis, in the order of what that costs.
     """
     out = np.zeros((len(x), tables, 1 + probes), np.int64)
+    signs = []
     each = np.arange(len(x))
     for t in range(tables):
         sides = []
         for k in range(2):
             y = rotations(x, 2 * t + k, seed)
+            if 2 * t + k < SKETCH:
+                signs.append(y > 0)
             a = np.abs(y)
             best = a.argmax(1)
             top = a[each, best].copy()
@@ -82,13 +93,15 @@ def hashes(x: np.ndarray, seed: int = 9, tables: int = TABLES, probes: int = PRO
         moves = np.stack([a1 * n + b0, a0 * n + b1, a1 * n + b1], 1)
         order = np.argsort(np.stack([ca, cb, ca + cb], 1), 1, kind="stable")
         out[:, t, 1:] = np.take_along_axis(moves, order, 1)[:, :probes]
-    return out
+    bits = np.packbits(np.concatenate(signs, 1), axis=1, bitorder="little")
+    pad = -bits.shape[1] % 8
+    return out, np.pad(bits, ((0, 0), (0, pad))).view("<u8")
 
 
-def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For each row, whether the hashes of two classes meet, by table: one's own
-    bucket is among the other's buckets. (rows, tables)"""
-    return (x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)
+def most_bits(threshold: float, bits: int) -> int:
+    """In how many of ``bits`` signs two candidates may differ."""
+    p = float(np.arccos(min(1.0, max(-1.0, threshold))) / np.pi)
+    return int(np.ceil(bits * p + MARGIN * np.sqrt(bits * p * (1 - p))))
 
 
 def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -105,88 +118,139 @@ def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
     return [(int(ids[i]), int(ids[r])) for i, r in enumerate(root) if i != r]
 
 
-def _compare(group: pa.Table, threshold: float) -> tuple[list[int], list[int], list[tuple[int, int]]]:
-    """Links of one pair of blocks: ids, their counts, and spanning edges.
+def _meeting(group: pa.Table, threshold: float) -> list[tuple[int, int]]:
+    """Edges that span the candidates of one pair of blocks of a bucket.
 
-    Columns: bucket, i, j, cid, table, probe, block, n, vector, hashes.
+    Columns: bucket, i, j, cid, probe, block, sketch, bits.
     """
-    cid, t = group["cid"].to_numpy(), int(group["table"][0].as_py())
-    probe, block, n = group["probe"].to_numpy(), group["block"].to_numpy(), group["n"].to_numpy()
+    cid, probe, block = group["cid"].to_numpy(), group["probe"].to_numpy(), group["block"].to_numpy()
     i, j = int(group["i"][0].as_py()), int(group["j"][0].as_py())
-    x = matrix(group["vector"])
-    x = x / np.sqrt((x * x).sum(1))[:, None]
-    at = np.flatnonzero(probe == 0)
-    if not len(at):
-        return [], [], []
-    signs = np.frombuffer(b"".join(group["hashes"].to_pylist()), "<i8").reshape(len(cid), TABLES, -1)
-    a, b = np.nonzero(x @ x[at].T >= threshold - 1e-9)
-    b = at[b]
-    keep = (cid[a] != cid[b]) & (np.where(probe[a] == 0, cid[a] < cid[b], True))
-    if i != j:
-        keep &= block[a] != block[b]
-    a, b = a[keep], b[keep]
-    keep = (x[a] * x[b]).sum(1) >= threshold
-    a, b = a[keep], b[keep]
-    # Of two classes that meet in several ways, the first table counts them once.
-    met = _meet(signs[a], signs[b])
-    first = ~met[:, :t].any(1)
-    a, b = a[first], b[first]
-    # Within a table the pair meets in one bucket if both own it; else where the
-    # probe of one is the own bucket of the other, which can be two buckets.
-    own = signs[a, t, 0] == signs[b, t, 0]
-    other = (signs[b, t, :1] == signs[a, t]).any(1) & (signs[a, t, :1] == signs[b, t]).any(1) & ~own
-    keep = np.where(own, probe[a] == 0, ~other | (cid[a] < cid[b]))
-    a, b = a[keep], b[keep]
-    # A class can stand in the block as a resident and as a probe: count by class.
+    home = np.flatnonzero(probe == 0)
+    if not len(home):
+        return []
+    words = np.frombuffer(b"".join(group["sketch"].to_pylist()), "<u8").reshape(len(cid), -1)
+    most = most_bits(threshold, int(group["bits"][0].as_py()))
     ids, place = np.unique(cid, return_inverse=True)
-    weight = np.zeros(len(ids), np.int64)
-    weight[place] = n
-    a, b = place[a], place[b]
-    counts = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
+    edges = []
+    step = max(1, PORTION // (len(home) * words.shape[1]))
+    for start in range(0, len(cid), step):
+        x = slice(start, start + step)
+        differ = np.bitwise_count(words[x][:, None] ^ words[home][None]).sum(2, dtype=np.int64)
+        near = (differ <= most) & (cid[x][:, None] != cid[home][None])
+        near &= (block[x] == i)[:, None] & (block[home] == j)[None] | (block[x] == j)[:, None] & (block[home] == i)[None]
+        a, b = np.nonzero(near)
+        if len(a):
+            edges.append(_roots(len(ids), place[start + a], place[home[b]]))
+    if not edges:
+        return []
+    a, b = np.concatenate(edges, 1)
+    return _forest(ids, a, b)
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edges (2, at most n) that join what ``a - b`` join."""
+    found = _forest(np.arange(n), a, b)
+    return np.array(found, np.int64).reshape(-1, 2).T
+
+
+def _compare(group: pa.Table, threshold: float, code: str) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+    """Links of one pair of blocks of a group: ids, their counts, and spanning edges.
+
+    Columns: g, i, j, cid, block, n, vector.
+    """
+    ids, n, block = group["cid"].to_numpy(), group["n"].to_numpy(), group["block"].to_numpy()
+    i, j = int(group["i"][0].as_py()), int(group["j"][0].as_py())
+    counts = np.zeros(len(ids), np.int64)
+    edges = [np.zeros((2, 0), np.int64)]
+    raw = group["vector"].to_pylist()
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        x = np.frombuffer(b"".join(raw[k] for k in at), code).reshape(len(at), -1).astype(float)
+        x = x / np.sqrt((x * x).sum(1))[:, None]
+        one, two = np.flatnonzero(block[at] == i), np.flatnonzero(block[at] == j)
+        step = max(1, PORTION // max(1, len(two)))
+        for start in range(0, len(one), step):
+            part = one[start : start + step]
+            a, b = np.nonzero(x[part] @ x[two].T >= threshold - 1e-9)
+            a, b = part[a], two[b]
+            keep = ids[at[a]] < ids[at[b]] if i == j else np.ones(len(a), bool)
+            a, b = a[keep], b[keep]
+            keep = np.einsum("rd,rd->r", x[a], x[b]) >= threshold
+            a, b = at[a[keep]], at[b[keep]]
+            np.add.at(counts, a, n[b])
+            np.add.at(counts, b, n[a])
+            edges.append(_roots(len(ids), a, b))
     some = np.flatnonzero(counts)
-    return ids[some].tolist(), counts[some].astype(np.int64).tolist(), _forest(ids, a, b)
+    a, b = np.concatenate(edges, 1)
+    return ids[some].tolist(), counts[some].tolist(), _forest(ids, a, b)
+
+
+def _blocked(rows: DataFrame, sizes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``rows`` dealt to pairs of blocks ``(key, i, j)`` by ``sizes (key, blocks)``."""
+    placed = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("blocks")))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select(key, F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", *columns)
+    return placed.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row."""
-    each = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
+    with temporary() as scratch:
+        return _near_duplicates(vectors, threshold, key, vector, label, scratch)
+
+
+def _near_duplicates(vectors: DataFrame, threshold: float, key: str, vector: str, label: str, scratch) -> DataFrame:
+    kind, code = ("array<float>", "<f4") if vectors.schema[vector].dataType.simpleString() == "array<float>" else ("array<double>", "<f8")
+    each = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast(kind).alias("v"), F.col(label).alias("label"))
     good = usable("v") & F.col("label").isNotNull()
     each = each.withColumn("cid", F.when(good, F.xxhash64("label", "v")))
     rows = each.where("cid is not null")
-    classes = stored(rows.groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").cast("string").alias("label")))
+    classes = scratch.keep(rows.groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").cast("string").alias("label")))
 
     def spread(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in frames:
-            sizes = np.array([len(v) for v in f.column(2)])
+            sizes = np.array([len(v) for v in f.column(1)])
             for d in np.unique(sizes):
                 part = f.filter(pa.array(sizes == d))
-                x = np.array(part.column(2).flatten()).reshape(part.num_rows, d)
-                found = hashes(x / np.sqrt((x * x).sum(1))[:, None])
-                cid, n = part.column(0).to_numpy(), part.column(1).to_numpy()
+                x = np.array(part.column(1).flatten(), float).reshape(part.num_rows, d)
+                found, sketch = hashes(x / np.sqrt((x * x).sum(1))[:, None])
+                sketch = pa.array([r.tobytes() for r in sketch], pa.binary())
+                bits = SKETCH << max(1, int(d - 1).bit_length())
                 for t in range(found.shape[1]):
                     for p in range(found.shape[2]):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(cid), pa.array(n), part.column(3), pa.array(np.full(len(cid), t)), pa.array(np.full(len(cid), p)), pa.array(found[:, t, p]), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary()), pa.array([r.astype("<i8").tobytes() for r in found], pa.binary())],
-                            names=["cid", "n", "label", "table", "probe", "code", "vector", "hashes"],
-                        )
-
-    spread_rows = classes.select("cid", "n", "v", "label").mapInArrow(spread, "cid long, n long, label string, table long, probe long, code long, vector binary, hashes binary")
-    spread_rows = spread_rows.withColumn("bucket", F.xxhash64("label", "table", "code", F.octet_length("vector"))).drop("label", "code")
-    sizes = spread_rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("probe").alias("first")).where("size > 1 and first = 0").select("bucket", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
-    placed = spread_rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("blocks")))
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "cid", "table", "probe", "block", "n", "vector", "hashes")
+                        whole = [pa.array(np.full(part.num_rows, v, np.int64)) for v in (t, p, d, bits)]
+                        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *whole, pa.array(found[:, t, p]), sketch], names=["cid", "label", "table", "probe", "d", "bits", "code", "sketch"])
+
+    hashed = classes.select("cid", "v", "label").mapInArrow(spread, "cid long, label string, table long, probe long, d long, bits long, code long, sketch binary")
+    hashed = hashed.select(F.xxhash64("label", "table", "code", "d").alias("bucket"), "cid", "probe", "bits", "sketch")
+    sizes = hashed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("probe").alias("first")).where("size > 1 and first = 0").select("bucket", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+
+    def meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(frames, 3):
+            if edges := _meeting(group, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
+
+    met = components(stored(_blocked(hashed, sizes, "bucket", ["cid", "probe", "sketch", "bits"]).mapInArrow(meet, "a long, b long").distinct()))
+    sizes = met.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).select(F.col("component").alias("g"), "blocks")
+    grouped = classes.select("cid", "n", "v").join(met.select(F.col("node").alias("cid"), F.col("component").alias("g")), "cid")
+
+    def packed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            yield pa.RecordBatch.from_arrays([f.column(0), f.column(1), f.column(2), pa.array([np.array(v, code).tobytes() for v in f.column(3).to_pylist()], pa.binary())], names=["cid", "g", "n", "vector"])
+
+    grouped = grouped.select("cid", "g", "n", "v").mapInArrow(packed, "cid long, g long, n long, vector binary")
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(frames, 3):
-            ids, counts, edges = _compare(group, threshold)
+            ids, counts, edges = _compare(group, threshold, code)
             if ids:
                 a, b = [*ids, *(e[0] for e in edges)], [*([None] * len(ids)), *(e[1] for e in edges)]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*counts, *([0] * len(edges))], pa.int64())], names=["a", "b", "links"])
 
-    found = stored(placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long, links long"))
-    links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    joined = components(found.where("b is not null").select("a", "b"))
+    found = stored(_blocked(grouped, sizes, "g", ["cid", "n", "vector"]).mapInArrow(compare, "a long, b long, links long"))
+    links = scratch.keep(found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")))
+    joined = scratch.keep(components(found.where("b is not null").select("a", "b")))
     named = classes.select("cid", "rep", "n").join(joined, F.col("cid") == F.col("node"), "left").select("cid", "rep", "n", F.coalesce("component", "cid").alias("g"))
     least = named.groupBy("g").agg(F.min("rep").alias("least"))
     named = named.join(least, "g").join(links, F.col("cid") == F.col("a"), "left").select("cid", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"))

@@ -53,3 +53,29 @@ def test_rotation_keeps_lengths_and_dot_products():
     x = np.random.default_rng(0).normal(size=(5, 20))
     y = op.rotations(x, 3, 9)
     assert np.allclose(x @ x.T, y @ y.T)
+
+
+def test_planted_pairs_are_found():
+    """Pairs at a cosine of 0.93 to 0.98 share a bucket and pass by their sketches."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = rng.uniform(0.93, 0.98, 3000)[:, None]
+    (a, s), (b, t) = op.hashes(x), op.hashes(cosine * x + np.sqrt(1 - cosine**2) * side)
+    met = ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1)
+    near = np.bitwise_count(s ^ t).sum(1) <= op.most_bits(op.THRESHOLD, 256)
+    assert met.mean() > 0.995 and near.all()
+    apart = np.bitwise_count(s[1:] ^ s[:-1]).sum(1) <= op.most_bits(op.THRESHOLD, 256)
+    assert not apart.any()
+
+
+def test_odd_ids_and_clashing_names(spark):
+    v = [1.0, 2.0, 3.0, 4.0]
+    rows = [(None, v, 1, 7, 7, 7), (None, [2.0 * x for x in v], 1, 7, 7, 7), (5, v, 1, 7, 7, 7), (5, v, 1, 7, 7, 7), (6, [4.0, -3.0, 2.0, -1.0], 1, 7, 7, 7), (None, None, 1, 7, 7, 7)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cid int, v int, n int")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], bool(r["kept"])) for r in op.near_duplicates(frame).collect())
+    assert [g[:2] for g in got] == [(0, 0), (0, 3), (0, 3), (5, 3), (5, 3), (6, 0)]
+    assert {g[2] for g in got if g[1] == 3} == {5} and got[-1] == (6, 0, 6, True)
