@@ -2,8 +2,11 @@
 
 Plain identifiers are found in the text itself. A text that shows signs of a
 disguise also passes a transducer: homoglyphs and full-width forms become ASCII,
-invisible characters vanish, spelled digits become digits, and ``[at]`` /
-``(dot)`` / `` at … dot `` become signs. The transducer keeps, for every
+invisible characters vanish, spelled digits and numbers become digits (also after
+"double" and "triple", and between spelled dots), and ``[at]`` / ``(dot)`` / ``[.]`` /
+`` at … dot `` / ``_at_ … _dot_`` / character references become signs; an address
+whose characters stand apart is drawn together. A bare `` at `` before a host with
+plain dots is left alone: "look at example.org" is no address. The transducer keeps, for every
 normalised character, the source range it came from; identifiers found in the
 normalised text are mapped back to source positions and added where no plain
 one of the same kind overlaps them.
@@ -11,7 +14,9 @@ one of the same kind overlaps them.
 All scans take time in proportion to the text: addresses are found from their
 ``@`` outwards, and the other patterns cannot restart inside what they read.
 
-Defined cases: null text is the empty text; every row gives one row.
+Defined cases: null text is the empty text; every row gives one row, repeated rows
+and equal or null ids included; an empty table gives no rows; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -104,10 +109,16 @@ def _homoglyphs() -> dict[str, str]:
 
 HOMOGLYPHS = _homoglyphs()
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+TEENS = {"ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19"}
+TIMES = {"double": 2, "triple": 3}
+#: Character references of the two signs.
+REFERENCES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
 _WORDS = "|".join(DIGITS)
+_TIMED = rf"(?:(?:{'|'.join(TIMES)})[ -])?(?:{_WORDS})"
+_OCTET = rf"(?:{'|'.join(TEENS)}|{_TIMED}(?:[ -](?:{_TIMED})){{0,2}}|[0-9]{{1,3}})"
 _GLYPH = re.compile("[" + "".join(re.escape(c) for c in HOMOGLYPHS) + "]")
-_BRACKET = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]", re.I)
-_COUNTED = frozenset(DIGITS) | frozenset("0123456789")
+_BRACKET = re.compile(r"[\[({<] ?(?:at|dot|@|\.) ?[\])}>]|&(?:#(?:64|46|x40|x2e)|commat|period);|_at_| @ ", re.I)
+_COUNTED = frozenset(DIGITS) | frozenset(TIMES) | frozenset("0123456789")
 
 
 def disguised(text: str) -> bool:
@@ -122,13 +133,18 @@ def disguised(text: str) -> bool:
 
 
 _RULES = re.compile(
-    r"(?P<at> ?[\[({<] ?at ?[\])}>] ?)|(?P<dot> ?[\[({<] ?dot ?[\])}>] ?)"
-    r"|(?P<words>\b(?:plus[ -])?(?:" + _WORDS + r")(?:[ ,-]{1,2}(?:" + _WORDS + r"|[0-9]))*+\b)"
+    r"(?P<at> ?[\[({<] ?(?:at|@) ?[\])}>] ?)|(?P<dot> ?[\[({<] ?(?:dot|\.) ?[\])}>] ?)"
+    r"|(?P<octets>\b" + _OCTET + r"(?: dot " + _OCTET + r"){3}\b)"
+    r"|(?P<words>\b(?:plus[ -])?" + _TIMED + r"(?:[ ,-]{1,2}(?:" + _TIMED + r"|[0-9]))*+\b)"
     r"|(?P<plain>(?<=[A-Za-z0-9]) at (?=[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4}\b))"
-    r"|(?P<plaindot>(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9]))|(?P<glyph>" + _GLYPH.pattern + ")",
+    r"|(?P<plaindot>(?<=[A-Za-z0-9]) dot (?=[A-Za-z0-9]))"
+    r"|(?P<underat>(?<=[A-Za-z0-9])_at_(?=[A-Za-z0-9-]{1,63}(?:_dot_[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9-])))"
+    r"|(?P<underdot>(?<=[A-Za-z0-9])_dot_(?=[A-Za-z0-9]))"
+    r"|(?P<apart>(?<![^\s])[A-Za-z0-9](?: [A-Za-z0-9._%+-](?!\S)){1,63}+ @(?: [A-Za-z0-9-](?!\S)){1,63}+(?: \.(?: [A-Za-z0-9-](?!\S)){1,63}+){1,8})"
+    r"|(?P<reference>" + "|".join(REFERENCES) + r")|(?P<glyph>" + _GLYPH.pattern + ")",
     re.I,
 )
-_SPELLED = re.compile(r"plus|" + _WORDS + r"|[0-9]", re.I)
+_SPELLED = re.compile(rf"plus|{'|'.join(TEENS)}|(?:(?P<times>{'|'.join(TIMES)})[ -])?(?P<word>{_WORDS})|[0-9]| (?P<dot>dot) ", re.I)
 
 
 def transduce(text: str) -> tuple[str, list[int], list[int], list[bool]]:
@@ -149,18 +165,24 @@ def transduce(text: str) -> tuple[str, list[int], list[int], list[bool]]:
     for m in _RULES.finditer(text):
         kind = m.lastgroup
         put(text[source : m.start()], source, True)
-        if kind == "words":
+        if kind in ("words", "octets"):
             spelled = list(_SPELLED.finditer(m[0]))
             if len(spelled) < 3:
                 put(m[0], m.start(), True)
             else:
                 for s in spelled:
                     word = s[0].lower()
-                    put("+" if word == "plus" else DIGITS.get(word, word), m.start() + s.start(), False)
-        elif kind in ("at", "plain"):
+                    sign = "+" if word == "plus" else "." if s["dot"] else TEENS.get(word, word)
+                    put(DIGITS[s["word"].lower()] * TIMES.get((s["times"] or "").lower(), 1) if s["word"] else sign, m.start() + s.start(), False)
+        elif kind in ("at", "plain", "underat"):
             put("@", m.start(), False)
-        elif kind in ("dot", "plaindot"):
+        elif kind in ("dot", "plaindot", "underdot"):
             put(".", m.start(), False)
+        elif kind == "apart":
+            for i in range(0, len(m[0]), 2):
+                put(m[0][i], m.start() + i, False)
+        elif kind == "reference":
+            put(REFERENCES[m[0].lower()], m.start(), False)
         else:
             put(HOMOGLYPHS.get(m[0], m[0]), m.start(), False)
         source = m.end()
