@@ -1,8 +1,10 @@
 """Exact duplicates by content digest, in two stages.
 
 The first stage digests the first tenth of each file; only files whose partial
-digest is shared are digested whole. The semi-join between the stages carries
-ids, not contents, so contents are shuffled nowhere.
+digest is shared are digested whole. Shared partial digests are computed first and
+kept. As long as they are few (by their count) they go to the files, so a file is
+digested whole only if it can have a copy; beyond that, digests are joined to them
+instead, as contents must not be shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.bits import prefix_length
+from kinfold.sources.scratch import stored
+
+#: Shared partial digests (64 characters each) that are sent to the files at most.
+SENT = 200_000
 
 
 def partial_digests(files: DataFrame) -> DataFrame:
@@ -33,7 +39,9 @@ def digests(files: DataFrame) -> DataFrame:
     """``(digest, path, size[, date_modified])`` of the files that can have a copy."""
     rest = [c for c in ("date_modified",) if c in files.columns]
     marked = partial_digests(files)
-    many = shared(marked, "partial").select("partial")
+    many = stored(shared(marked, "partial").select("partial"))
+    if many.count() <= SENT:
+        return marked.join(F.broadcast(many), "partial", "left_semi").select(F.sha2("content", 256).alias("digest"), "path", "size", *rest)
     whole = marked.select("partial", "path", "size", *rest, F.sha2("content", 256).alias("digest"))
     return whole.join(many, "partial", "left_semi").select("digest", "path", "size", *rest)
 

@@ -61,3 +61,13 @@ def split_readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = F.col("content").isNotNull() & (F.col("size") > 0)
     errors = files.where(~F.coalesce(ok, F.lit(False))).select(F.lit("Exception").alias("type"), F.concat(F.lit("File "), F.col("path"), F.lit(" is empty or can't be read")).alias("result"))
     return files.where(ok), errors
+
+
+def split_images(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Images by their ``kind`` (as sniffed), and error rows for files of other kinds;
+    animations are left out without one. Without that column all files are images."""
+    if "kind" not in files.columns:
+        return files, files.where(F.lit(False)).select(F.lit("Exception").alias("type"), F.col("path").alias("result"))
+    bad = files.where(~F.coalesce(F.col("kind").isin("Image", "Animation"), F.lit(False)))
+    errors = bad.select(F.lit("Exception").alias("type"), F.concat(F.lit("File "), F.col("path"), F.lit(" is no image that can be read: "), F.coalesce("kind", F.lit("unknown"))).alias("result"))
+    return files.where(F.col("kind") == "Image"), errors

@@ -167,16 +167,16 @@ def topk_neighbours(spark, sf_dir):
     return similarity.neighbours(hashes(spark, sf_dir), 44, 3)
 
 
-@query("WITH " + _EDGES.format(degree=40) + ", cached AS (SELECT * FROM edges WHERE src % 2 = 0 AND score >= 28) SELECT DISTINCT src, dst, score FROM (SELECT * FROM cached UNION ALL SELECT * FROM edges WHERE score < 28 OR src % 3 = 0)")
+@query("WITH " + _EDGES.format(degree=40) + ", cached AS (SELECT * FROM edges WHERE score >= 28) SELECT DISTINCT src, dst, score FROM (SELECT * FROM cached UNION ALL SELECT * FROM edges)")
 def neighbour_union_distinct(spark, sf_dir):
     edges = similarity.neighbours(hashes(spark, sf_dir), 40, None)
-    return similarity.merge_neighbours(edges.where("src % 2 = 0 and score >= 28"), edges.where("score < 28 or src % 3 = 0"))
+    return similarity.merge_neighbours(edges.where("score >= 28"), edges)  # cached by a search of a lower degree
 
 
-@query("WITH " + _EDGES.format(degree=40) + " SELECT * FROM edges WHERE NOT (src % 2 = 0 AND score >= 28)")
+@query("WITH " + _EDGES.format(degree=40) + " SELECT * FROM edges WHERE score < 28")
 def neighbour_anti_join(spark, sf_dir):
     edges = similarity.neighbours(hashes(spark, sf_dir), 40, None)
-    return similarity.not_cached(edges, edges.where("src % 2 = 0 and score >= 28"))
+    return similarity.not_cached(edges, edges.where("score >= 28"))
 
 
 _RAW = "raw AS MATERIALIZED (SELECT doc_id, n, list_transform(regexp_extract_all(x, '..'), lambda h: ('0x' || h)::int) AS b FROM (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) > 0)), "
@@ -226,10 +226,11 @@ def block_mean_hash(spark, sf_dir):
     return perceptual.hashed(files(spark, sf_dir).where("size > 0"), "BlockMeanHash", "doc_id")
 
 
-@query("WITH " + _DIFFERENCE + " SELECT d.doc_id AS id, c.bits IS NOT NULL AS hit, hamming(d.bits, c.bits) AS distance FROM dhash d LEFT JOIN (SELECT * FROM dhash WHERE doc_id % 2 = 0) c USING (doc_id)")
+@query("WITH " + _DIFFERENCE + " SELECT d.doc_id AS id, c.bits IS NOT NULL AS hit, hamming(d.bits, c.bits) AS distance FROM dhash d LEFT JOIN (SELECT dhash.* FROM dhash JOIN documents USING (doc_id) WHERE lang = 'en') c USING (doc_id)")
 def cache_probe_left_join(spark, sf_dir):
     rows = text_hashes(spark, sf_dir)
-    return probe(rows, rows.where("id % 2 = 0")).select("id", "hit", hamming("hash", "cached_hash").alias("distance"))
+    english = files(spark, sf_dir).where("ext = '.en'").select(F.col("doc_id").alias("id"))
+    return probe(rows, rows.join(english, "id", "left_semi")).select("id", "hit", hamming("hash", "cached_hash").alias("distance"))
 
 
 @query(
@@ -246,9 +247,9 @@ def star_cover_groups(spark, sf_dir):
     return cover.star_cover(similarity.neighbours(rows, 40, None), rows.select("id", F.lit(1).cast("long").alias("copies")))
 
 
-@query("WITH " + _DIGESTS + " SELECT digest AS group_id, regexp_extract(path, '[^/]*$') AS name, ext AS type, path, size, row_number() OVER (PARTITION BY digest ORDER BY path) AS position FROM partials WHERE ext = '.en' AND digest IN (SELECT digest FROM partials WHERE ext = '.en' GROUP BY digest HAVING count(*) > 1)")
+@query("WITH " + _DIGESTS + " SELECT digest AS group_id, regexp_extract(path, '[^/]*$') AS name, ext AS type, path, size, row_number() OVER (PARTITION BY digest ORDER BY path) AS position FROM partials WHERE digest IN (SELECT digest FROM partials GROUP BY digest HAVING count(*) > 1)")
 def search_all(spark, sf_dir):
-    return search.find_duplicates(files(spark, sf_dir), SearchParameters(folders=["*"], file_search_type="All", included_file_types=["en"]))
+    return search.find_duplicates(files(spark, sf_dir), SearchParameters(folders=["*"], file_search_type="All"))
 
 
 @query(None)

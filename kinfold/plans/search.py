@@ -9,6 +9,7 @@ from kinfold.functions.bits import pack
 from kinfold.operators import cover, digests, perceptual, predicates, similarity
 from kinfold.params import SearchParameters, checked
 from kinfold.sources.cache import HashCache, probe
+from kinfold.sources.scratch import stored
 
 EMPTY = "group_id string, name string, type string, path string, size long"
 
@@ -26,22 +27,26 @@ def similar_images(images: DataFrame, p: SearchParameters, cache: HashCache | No
 
     ``images`` has ``path``, ``size``, ``content``, and ``pixels`` (grey) as the
     algorithm takes them: nine by eight for the difference hash, 32 by 32 for the
-    perceptual hash, 256 by 256 for the block mean hash.
+    perceptual hash, 256 by 256 for the block mean hash; and ``kind`` where it was
+    sniffed, by which animations and other files are left out (see ``errors``).
     """
     algorithm = p.perceptual_hash_algorithm or "DifferenceHash"
     width = perceptual.BITS[algorithm]
     readable, _ = predicates.split_readable(predicates.select_files(images, p))
+    readable, _ = predicates.split_images(readable)
     keyed = readable.withColumn("id", F.xxhash64(F.sha2("content", 256)))
     groups = keyed.groupBy("id").agg(F.sort_array(F.collect_list("path")).alias("paths"), F.first("pixels").alias("pixels"))
+    found = cache.hashes(algorithm) if cache else None
+    fresh = groups.join(found.select("id"), "id", "left_anti") if cache else groups  # what the cache has is not hashed again
     if algorithm == "DifferenceHash":
-        hashes = groups.select("id", perceptual.once(pack(perceptual.difference_bits("pixels"))).alias("hash"))
+        hashes = fresh.select("id", perceptual.once(pack(perceptual.difference_bits("pixels"))).alias("hash"))
     else:
-        hashes = perceptual.packed(groups, algorithm, "id")
+        hashes = perceptual.packed(fresh, algorithm, "id")
     if cache:
-        known = probe(hashes, cache.hashes(algorithm))
-        new = known.where(~F.col("hit")).select("id", "hash")
-        hashes = known.select("id", F.coalesce("cached_hash", "hash").alias("hash"))
+        new = stored(hashes.where("hash is not null"))
+        known = stored(probe(groups.select("id"), found).where("hit").select("id", F.col("cached_hash").alias("hash")))
         cache.add_hashes(algorithm, new)
+        hashes = known.unionByName(new)
     edges = similarity.neighbours(hashes.where("hash is not null"), p.degree_of_similarity or 0, width=width)
     if cache:
         old = cache.edges(algorithm, width - (p.degree_of_similarity or 0))
@@ -61,6 +66,12 @@ def find_duplicates(files: DataFrame, p: SearchParameters, cache: HashCache | No
     return files.sparkSession.createDataFrame([], EMPTY)  # similar audio finds nothing
 
 
+def errors(files: DataFrame, p: SearchParameters) -> DataFrame:
+    """``(type, result)``: a row for each file that the search can't take."""
+    readable, empty = predicates.split_readable(predicates.select_files(files, p))
+    return empty.unionByName(predicates.split_images(readable)[1]) if p.file_search_type == "Images" else empty
+
+
 def to_response(found: DataFrame) -> DataFrame:
     """One JSON array of files per group."""
     row = F.struct(*[F.col(c) for c in found.columns if c != "group_id"])

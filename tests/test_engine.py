@@ -183,3 +183,22 @@ def test_entry(spark):
     assert set(catalogue.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     if os.path.exists(DATA):
         assert entry.entry(spark).count() == 10
+
+
+def test_duplicate_files_reads_a_tenth_first_and_whole_candidates(spark, tmp_path):
+    for name, data in {"a": b"x" * 300_000, "b": b"x" * 300_000, "c": b"x" * 200_000 + b"y" * 100_000, "d": b"z", "e": b"z", "f": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    files, errors = sources.listing(spark, [str(tmp_path)])
+    got = sorted((r["path"][-1], r["size"]) for r in sources.duplicate_files(files).collect())
+    assert got == [("a", 300_000), ("b", 300_000), ("d", 1), ("e", 1)] and not errors
+    assert sources._digest(str(tmp_path / "c"), 30_000) == sources._digest(str(tmp_path / "a"), 30_000)
+
+
+def test_moving_images_are_found_in_the_whole_content_and_other_kinds_are_errors(spark):
+    frame = b"!\xf9\x04" + b"\0" * 9000
+    contents = {"still.gif": b"GIF89a" + frame, "moving.gif": b"GIF89a" + frame + frame, "late.png": b"\x89PNG\r\n\x1a\n" + b"\0" * 9000 + b"acTL", "plain.png": b"\x89PNG\r\n\x1a\n" + b"\0" * 9000, "text.png": b"no image"}
+    rows = spark.createDataFrame([(k, bytearray(v), len(v)) for k, v in contents.items()], "path string, content binary, size long").withColumn("kind", sources.sniffed())
+    images, _ = predicates.split_images(rows)
+    assert sorted(r["path"] for r in images.collect()) == ["plain.png", "still.gif"]
+    p = SearchParameters(folders=["*"], file_search_type="Images", perceptual_hash_algorithm="DifferenceHash", degree_of_similarity=2)
+    assert [("text.png" in r["result"], r["type"]) for r in search.errors(rows, p).collect()] == [(True, "Exception")]
