@@ -488,5 +488,15 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return kept.unionByName(hit.where(stays).dropDuplicates([key]).drop(key, stays))
 
 
+#: All pairs that share a shingle, and what can be reached from each document.
+ORACLE_SQL = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ m AS MATERIALIZED (SELECT a.doc_id AS s, b.doc_id AS d, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+ l AS MATERIALIZED (SELECT m.s, m.d FROM m JOIN n x ON x.doc_id = m.s JOIN n y ON y.doc_id = m.d WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.d, r.root FROM r JOIN l ON l.s = r.node)
+ SELECT node AS doc_id, coalesce(max(n.n), 0)::bigint AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY node"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")

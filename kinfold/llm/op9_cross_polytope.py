@@ -258,5 +258,13 @@ def _near_duplicates(vectors: DataFrame, threshold: float, key: str, vector: str
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+#: All pairs of one label, and what can be reached from each vector.
+ORACLE_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::double[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l AS MATERIALIZED (SELECT a.vec_id AS s, b.vec_id AS d FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+ r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.d, r.root FROM r JOIN l ON l.s = r.node),
+ c AS (SELECT node AS vec_id, min(root) AS component_id FROM r GROUP BY node)
+ SELECT vec_id, (SELECT count(*) FROM l WHERE l.s = c.vec_id)::bigint AS n_links, component_id, vec_id = component_id AS kept FROM c"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
