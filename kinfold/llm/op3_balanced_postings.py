@@ -278,7 +278,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, prune: float | No
             rows_, ask = np.flatnonzero(probe == 1), np.flatnonzero(probe == 0)
             if not len(rows_) or not len(ask):
                 continue
-            out_q, out_c, out_d = [], [], []
+            out_q, out_c, out_f, out_d = [], [], [], []
             y, names, low = x[rows_], cid[rows_], first[rows_]
             for q in ask:
                 d = np.sqrt(((y - x[q]) ** 2).sum(1))
@@ -286,10 +286,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, prune: float | No
                 at = at[np.lexsort((low[at], d[at]))][: k + 1]
                 out_q.append(np.full(len(at), cid[q]))
                 out_c.append(names[at])
+                out_f.append(low[at])
                 out_d.append(d[at])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_c, out_d)], names=["q", "cid", "score"])
-
-    found = tasks.mapInArrow(nearest, "q long, cid long, score double").groupBy("q", "cid").agg(F.min("score").alias("score"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_c, out_f, out_d)], names=["q", "cid", "first", "score"])
+
+    # A class stands in COPIES + 1 lists at most, so tasks can drop all but the nearest few
+    # of a query before the shuffle; ids of classes are fetched for what is left.
+    near = Window.partitionBy("q").orderBy("score", "first", "cid")
+    found = tasks.mapInArrow(nearest, "q long, cid long, first long, score double")
+    found = found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= (COPIES + 1) * (k + 1))
+    found = found.groupBy("q", "cid").agg(F.min("score").alias("score"), F.min("first").alias("first"))
+    found = found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
     found = found.join(classes.select("cid", "ids"), "cid").select("q", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("q").orderBy("score", "vec_id")
     found = stored(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1))
