@@ -54,6 +54,8 @@ COPIES, BOUNDARY = 1, 0.01
 RECALL, TUNERS = 0.94, 400
 #: How much farther than the ratio the graph is walked, for centroids behind others.
 SLACK = 0.05
+#: Rows of answers that a task holds before it hands them on.
+HELD = 100_000
 #: Rows of a posting block, and queries that meet it at a time.
 BLOCK, QUERIES = 2048, 512
 
@@ -212,6 +214,19 @@ def _probes(graph: Graph, x: np.ndarray, prune: float, sizes: np.ndarray, least:
             yield r, at
 
 
+def _best(parts: list[tuple], most: int) -> tuple:
+    """The ``most`` nearest rows of each query out of parts ``(q, cid, first, score)``."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    q, cid, first, score = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((cid, first, score, q))
+    q = q[order]
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    keep = order[rank < most]
+    return q[rank < most], cid[keep], first[keep], score[keep]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, prune: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows of ``vectors``
     that were found for each row of ``queries``, its own row left out. ``prune``:
@@ -271,7 +286,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, prune: float | No
     right = probed.join(both, "list").select("list", F.explode(counted[1]).alias("block"), turn.alias("turn"), "probe", "cid", "first", "vector")
     tasks = left.unionByName(right).repartition("list", "block", "turn").sortWithinPartitions("list", "block", "turn")
 
+    most = (COPIES + 1) * (k + 1)
+
     def nearest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _best([], most)
         for group in runs(frames, 3):
             probe = group["probe"].to_numpy()
             cid, first, x = group["cid"].to_numpy(), group["first"].to_numpy(), matrix(group["vector"], code)
@@ -288,13 +306,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, prune: float | No
                 out_c.append(names[at])
                 out_f.append(low[at])
                 out_d.append(d[at])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_c, out_f, out_d)], names=["q", "cid", "first", "score"])
+            held = _best([held, *zip(out_q, out_c, out_f, out_d)], most)
+            if len(held[0]) > HELD:  # many queries: what there is goes on as it is
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["q", "cid", "first", "score"])
+                held = _best([], most)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["q", "cid", "first", "score"])
 
     # A class stands in COPIES + 1 lists at most, so tasks can drop all but the nearest few
     # of a query before the shuffle; ids of classes are fetched for what is left.
     near = Window.partitionBy("q").orderBy("score", "first", "cid")
     found = tasks.mapInArrow(nearest, "q long, cid long, first long, score double")
-    found = found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= (COPIES + 1) * (k + 1))
+    found = found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= most)
     found = found.groupBy("q", "cid").agg(F.min("score").alias("score"), F.min("first").alias("first"))
     found = found.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
     found = found.join(classes.select("cid", "ids"), "cid").select("q", "score", F.explode("ids").alias("vec_id"))
