@@ -33,13 +33,17 @@ SEQUENCE = 4096
 END = 1
 #: Entries of the memo of white-space words, per Python worker.
 WORDS = 700_000
+#: Words of one call of the tokenizers library.
+CALL = 4096
+#: Characters of the texts that are encoded together, about.
+TOGETHER = 1_000_000
 #: Pieces of one (length, bucket) group, about.
 GROUP = 50_000
 
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: A full stop or comma that stands in a longer run of signs.
-_SIGN_RUN = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_")
+_SIGN_RUN = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))")
 
 
 class WordMemo:
@@ -58,31 +62,52 @@ class WordMemo:
         self.memo: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):  # white space to Python alone
-            return self._ids(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; words that are new to the memo are encoded together."""
+        split = [self._words(t) for t in texts]
+        found = [list(map(self.memo.get, words)) for words in split]
+        new = list({w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
+        made: dict[str, bytes] = {}
+        if new:
+            made = dict(zip(new, self._many(new), strict=True))
+            if len(self.memo) + len(new) > WORDS:
+                self.memo.clear()
+            self.memo.update((w, ids) for w, ids in made.items() if len(w) <= 64)
+        out = []
+        for text, words, ids in zip(texts, split, found, strict=True):
+            if text and not words and _ODD_SPACE.search(text):
+                out.append(self._ids(text))
+            elif None in ids:
+                out.append(b"".join([made[w] if i is None else i for w, i in zip(words, ids, strict=True)]))
+            else:
+                out.append(b"".join(ids))
+        return out
+
+    def _words(self, text: str | None) -> list[str]:
+        """Parts of a text that the tokenizer never joins; none where it has to see the text whole."""
+        if not text or _ODD_SPACE.search(text):  # white space to Python alone
+            return []
         low = text.lower()  # as the tokenizer does, but it composes before that and never after
         if "<|" not in text and (text.isascii() or "\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
             text = low  # special strings are case-sensitive
             if not _SIGN_RUN.search(text):  # single signs are words of their own
                 text = text.replace(".", " . ").replace(",", " , ")
-        words = text.split()
-        found = list(map(self.memo.get, words))
-        if None in found:
-            new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-            if len(self.memo) + len(new) > WORDS:
-                self.memo.clear()
-            made = dict(zip(new, self._many(new), strict=True))
-            found = [made[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-            self.memo.update((w, ids) for w, ids in made.items() if len(w) <= 64)
-        return b"".join(found)
+        return text.split()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _many(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(words), CALL):
+            some = words[at : at + CALL]
+            encoded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(encoded.ids, "<u4").tobytes()
+            ends = [0, *(4 * np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(len(some)), side="right")).tolist()]
+            out += [ids[a:b] for a, b in zip(ends, ends[1:])]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -91,6 +116,19 @@ def memo(path: str) -> WordMemo:
     return WordMemo(path)
 
 
+def _together(frame: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """Rows of a batch in groups of about ``TOGETHER`` characters."""
+    held, size = [], 0
+    for k, t in zip(frame.column(0), frame.column(1), strict=True):
+        held.append((k.as_py(), t.as_py()))
+        size += len(held[-1][1] or "")
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = END) -> DataFrame:
     """``(doc_id, piece, start, length, ids)``: whole documents as token pieces.
 
@@ -107,11 +145,13 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = END)
             schema = pa.schema([frame.schema.field(0).with_name("doc_id"), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
             def rows(frame=frame):
-                for k, t in zip(frame.column(0), frame.column(1), strict=True):
-                    ids = words.encode(t.as_py()) + tail
-                    for p in range(0, len(ids), 4 * sequence):
-                        part = ids[p : p + 4 * sequence]
-                        yield k.as_py(), p // (4 * sequence), p // 4, len(part) // 4, part
+                for group in _together(frame):
+                    keys, texts = zip(*group, strict=True)
+                    for k, ids in zip(keys, words.encode_all(list(texts)), strict=True):
+                        ids += tail
+                        for p in range(0, len(ids), 4 * sequence):
+                            part = ids[p : p + 4 * sequence]
+                            yield k, p // (4 * sequence), p // 4, len(part) // 4, part
 
             yield from batches(rows(), schema)
 
