@@ -1,11 +1,12 @@
 """Shared plumbing of the training-data operators.
 
-Nothing here keeps state between calls.
+Nothing here keeps state between calls, but for the one object that ``held`` keeps
+in a Python worker.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,32 @@ from pyspark.sql.types import AtomicType, NumericType
 from kinfold.operators.graph import components
 from kinfold.sources.scratch import cut, release, shared_dir, stored, temporary
 
-__all__ = ["batches", "components", "cut", "dense", "fit_logistic", "keep_rows", "key_of", "matrix", "release", "remainder", "runs", "shared_dir", "stored", "sums", "table", "temporary", "unused", "usable"]
+__all__ = ["batches", "components", "cut", "dense", "fit_logistic", "held", "keep_rows", "key_of", "let_go", "matrix", "release", "remainder", "runs", "shared_dir", "stored", "sums", "table", "temporary", "unused", "usable"]
 
 #: Rows of one Arrow batch handed back by the operators below; texts can be long.
 OUT_ROWS = 256
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """The object ``name`` of this Python worker, made where the worker lacks it.
+
+    A worker holds one at a time, so what the operators remember for speed (memos,
+    tokenizers) does not add up in a worker that serves stage after stage.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def let_go() -> None:
+    """Forget what this Python worker holds for another operator."""
+    _HELD.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``, by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, components, key_of, runs, stored, table, temporary, unused
+from .common import batches, components, key_of, let_go, runs, stored, table, temporary, unused
 
 #: Sets up to this size take part with all their tokens.
 SHORT = 64
@@ -56,8 +56,6 @@ SHARED = 0.10
 HUB_ROUNDS = 2
 #: Rows and shingles of a block of a posting list, about; a task holds two blocks.
 BLOCK, BLOCK_TOKENS = 4096, 1 << 21
-#: Entries of the memo of words, per Python worker.
-WORDS = 700_000
 #: Bits of a parity bitmap: so many a shingle, rounded up to a power of two, and so
 #: many at least; words that are compared at a time.
 BITS_EACH, LEAST_BITS, PORTION = 3, 1024, 1 << 21
@@ -67,19 +65,6 @@ FILTER_BITS = 1 << 23
 _LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, in a bounded memo."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_MEMO = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -93,7 +78,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     n = len(parts)
     if not n:
         return np.zeros(0, np.int64)
-    codes = np.fromiter(map(_MEMO.__getitem__, parts), np.uint64, n)
+    codes = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, n)
     width = min(words, n)
     total = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
@@ -164,6 +149,7 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     limit = Threshold(percent)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for f in frames:
             schema = pa.schema([f.schema.field(0).with_name("doc_id"), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("slack", pa.int32()), ("q", pa.list_(pa.int64()))])
 

@@ -14,7 +14,6 @@ pieces share is spread over many tasks.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import unicodedata
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, stored, table
+from .common import batches, held, stored, table
 from .op7_forced_boundary_bpe import vocabulary
 
 SEQUENCE = 4096
@@ -110,10 +109,10 @@ class WordMemo:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def memo(path: str) -> WordMemo:
+    """One memo per Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each Spark task
-    return WordMemo(path)
+    return held(f"words/{path}", lambda: WordMemo(path))
 
 
 def _together(frame: pa.RecordBatch) -> Iterator[list[tuple]]:

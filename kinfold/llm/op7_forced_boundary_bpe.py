@@ -19,7 +19,6 @@ special token's own string in a text gets the special id, as the library does.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -31,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, table
+from .common import batches, held, table
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -146,10 +145,9 @@ class ForcedBoundaryBPE:
         return [merged[a] if b == a + 1 else b"".join(merged[a:b]) for a, b in zip([0, *last], last)]
 
 
-@functools.lru_cache(maxsize=2)
 def coder(path: str) -> ForcedBoundaryBPE:
-    """One coder per Python worker and vocabulary file."""
-    return ForcedBoundaryBPE(path)
+    """One coder per Python worker."""
+    return held(f"bytes/{path}", lambda: ForcedBoundaryBPE(path))
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dense, fit_logistic, keep_rows, remainder, stored, sums, table
+from .common import dense, fit_logistic, held, keep_rows, remainder, stored, sums, table
 
 #: Letters of the language model: boundary, a-z, and classes of other letters.
 ALPHABET = 40
@@ -266,15 +266,9 @@ def _set_apart(word: str) -> bool:
     return single >= 3 and single * 2 >= len(parts)
 
 
-_READER: dict[str, Reader] = {}
-
-
 def reader(key: str, cost: np.ndarray, only: frozenset[int] | None = None) -> Reader:
-    """One reader per Python worker, language model and set of features."""
-    if key not in _READER:
-        _READER.clear()
-        _READER[key] = Reader(cost, only)
-    return _READER[key]
+    """One reader per Python worker, for a language model and set of features."""
+    return held(f"reader/{key}", lambda: Reader(cost, only))
 
 
 #: Inputs of the regression.
