@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, NumericType
 
+from kinfold.functions.groups import runs
 from kinfold.operators.graph import components
 from kinfold.sources.scratch import cut, release, shared_dir, stored, temporary
 
@@ -175,30 +176,6 @@ def usable(vector: str) -> F.Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def runs(frames: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Groups of a partition that is sorted by its first ``keys`` columns (longs),
-    one at a time; a group may span batches."""
-    held: list[pa.RecordBatch] = []
-    for f in frames:
-        if not f.num_rows:
-            continue
-        columns = [f.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        change = np.zeros(f.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        at = [0, *np.flatnonzero(change).tolist(), f.num_rows]
-        if held and any(held[-1].column(i)[-1].as_py() != c[0] for i, c in enumerate(columns)):
-            yield pa.Table.from_batches(held)
-            held = []
-        for a, b in zip(at, at[1:]):
-            if a:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(f.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def matrix(column: pa.ChunkedArray, code: str = "<f8") -> np.ndarray:
     """Rows of equally long vectors of numbers of kind ``code``, in double precision."""
     return np.frombuffer(b"".join(column.to_pylist()), code).reshape(len(column), -1).astype(float)

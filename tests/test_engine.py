@@ -202,3 +202,23 @@ def test_moving_images_are_found_in_the_whole_content_and_other_kinds_are_errors
     assert sorted(r["path"] for r in images.collect()) == ["plain.png", "still.gif"]
     p = SearchParameters(folders=["*"], file_search_type="Images", perceptual_hash_algorithm="DifferenceHash", degree_of_similarity=2)
     assert [("text.png" in r["result"], r["type"]) for r in search.errors(rows, p).collect()] == [(True, "Exception")]
+
+
+def test_image_search_moves_hashes_not_pixels_and_finds_pairs_in_hot_bands(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 100, 3).tolist()) for _ in range(60)] + [b"one %d" % i * 40 for i in range(20)] + [b"copy"] * 3
+    bits = {t: perceptual.block_mean_bits(perceptual._stretched(t, 65536).reshape(256, 256)) for t in set(texts)}
+    rows = spark.createDataFrame([(f"p{i}", bytearray(t), len(t)) for i, t in enumerate(texts)], "path string, content binary, size long")
+    hashes = perceptual.packed(rows.withColumn("id", F.xxhash64("content")), "BlockMeanHash", "id", "content", stretched=True).distinct()
+    name = {r["id"]: bytes(r["content"]) for r in rows.select("content", F.xxhash64("content").alias("id")).collect()}
+    for distance in (12, 128):
+        got = similarity.pairs_within(hashes, distance, 961)
+        want = {frozenset((a, b)): int((bits[a] != bits[b]).sum()) for a in bits for b in bits if a < b and (bits[a] != bits[b]).sum() <= distance}
+        found = [(frozenset((name[r["src"]], name[r["dst"]])), r["distance"]) for r in got.collect()]
+        assert dict(found) == want and len(found) == len(want) > 20
+    p = SearchParameters(folders=["x"], file_search_type="Images", perceptual_hash_algorithm="BlockMeanHash", degree_of_similarity=24)
+    found = search.find_duplicates(rows, p, stretched=True)
+    assert {"p80", "p81", "p82"} <= {r["path"] for r in found.collect()}
+    pixels = rows.withColumn("pixels", F.col("content"))
+    assert sorted(map(tuple, search.find_duplicates(pixels, p, stretched=True).collect())) == sorted(map(tuple, found.collect()))
