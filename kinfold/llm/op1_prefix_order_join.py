@@ -59,7 +59,8 @@ BLOCK, BLOCK_TOKENS = 4096, 1 << 21
 #: Bits of a parity bitmap: so many a shingle, rounded up to a power of two, and so
 #: many at least; words that are compared at a time.
 BITS_EACH, LEAST_BITS, PORTION = 3, 1024, 1 << 21
-#: Bits of the filter that spares most texts the second reading (1 MiB).
+#: Bits of the filters that spare most texts the second reading, and sets that no
+#: pair asks for the shuffle (1 MiB).
 FILTER_BITS = 1 << 23
 
 _LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -211,6 +212,19 @@ def whole_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
     return found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "s", "o", "w")])
 
 
+def asked(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose key is among ``keys (key)``, and a few by chance,
+    found without a shuffle of ``sets``: by a filter of fixed size."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    words64 = keys.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).cast("long").alias("_at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 as int))")).alias("_bits"))
+    hit = sets.withColumn("_slot", slot).withColumn("_at", F.floor(F.col("_slot") / 64).cast("long")).join(F.broadcast(words64), "_at")
+    return hit.where("(shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1L) = 1L").select(*sets.columns)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key"))
+
+
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach the threshold."""
     if len(x) > len(y):
@@ -224,9 +238,11 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets reach the threshold.
 
     Before whole sets are fetched, a pair must fit by size, share a token of the
-    third order's prefixes and not be refuted by its bitmaps.
+    third order's prefixes and not be refuted by its bitmaps. Only sets that a pair
+    asks for are shuffled, so a round costs what its pairs need.
     """
-    narrow = sets.select("key", "n", "o", "w")
+    pairs = stored(pairs)
+    narrow = asked(sets.select("key", "n", "o", "w"), _ends(pairs))
     narrow = [narrow.select(F.col("key").alias(k), *[F.col(c).alias(f"{c}{k}") for c in ("n", "o", "w")]) for k in "ab"]
     open_ = pairs.join(narrow[0], "a").join(narrow[1], "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     open_ = open_.where(F.arrays_overlap("oa", "ob")).select("a", "b", "na", "nb", "wa", "wb")
@@ -240,8 +256,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(_fits(n, m, int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()), percent)))
             yield pa.RecordBatch.from_arrays([f.column(0), f.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = sets.select("key", "s")
-    both = open_.mapInArrow(narrowed, "a long, b long")
+    both = stored(open_.mapInArrow(narrowed, "a long, b long"))
+    whole = asked(sets.select("key", "s"), _ends(both))
     both = both.join(whole.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def exact(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +268,15 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(exact, "a long, b long")
 
 
+def lists_once(rows: DataFrame, label: str) -> DataFrame:
+    """``rows (tok, key, …)`` of the lists that hold several values of ``label``; of
+    lists with the same keys (by two 64-bit hashes and their number) one, as the
+    others hold the same pairs."""
+    lists = rows.groupBy("tok").agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "key")).alias("y"))
+    one = lists.where("lo <> hi").groupBy("size", "x", "y").agg(F.min("tok").alias("tok")).select("tok")
+    return rows.join(one, "tok", "left_semi")
+
+
 def postings(signed: DataFrame) -> DataFrame:
     """``(tok, key)``: what each class posts after the first two orders."""
     each = signed.where("key is not null").select("key", "slack", F.explode("q").alias("tok"))
@@ -261,8 +286,7 @@ def postings(signed: DataFrame) -> DataFrame:
     found = found.withColumn("size", F.count("*").over(of_class)).withColumn("rank", F.row_number().over(of_class.orderBy("c", "tok")))
     found = stored(found.where(F.col("rank") <= F.col("slack") + F.col("size")).select("tok", "key"))
     # A token that only one class posts after the filter makes no pair.
-    shared = found.groupBy("tok").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("tok")
-    return found.join(shared, "tok", "left_semi")
+    return lists_once(found, "key")
 
 
 class _Group:
@@ -339,7 +363,7 @@ def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, cost: np.ndarray)
 def _blocked(left: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     """``left (tok, key, c)`` with columns of its sets, dealt to pairs of blocks
     ``(tok, i, j)``, so no task holds a whole list."""
-    rows = left.join(sets.select("key", "n", *columns), "key")
+    rows = left.join(asked(sets.select("key", "n", *columns), left.select("key")), "key")
     sizes = rows.groupBy("tok").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("long").alias("blocks"))
     rows = rows.join(sizes, "tok").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -429,8 +453,7 @@ def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataF
         if turn > HUB_ROUNDS:
             break
         left = left.drop("c").join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-        open_ = left.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("tok")
-        left = stored(left.join(open_, "tok", "left_semi"))
+        left = stored(lists_once(left, "c"))
         if left.isEmpty():
             break
     return joined

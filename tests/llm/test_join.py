@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinfold.llm import op1_prefix_order_join as op
 
@@ -148,3 +149,20 @@ def test_no_step_makes_more_rows_than_postings(spark, monkeypatch):
     assert sorted(got) == brute(list(range(size)), texts, 5, 75)
     postings = sum(limit.posted(r[1]) for r in got)
     assert {"likely", "still_open", "certain"} <= set(made) and all(n <= postings for n in made.values()), (made, postings)
+
+
+def test_sets_that_no_pair_asks_for_are_not_shuffled(spark):
+    sets = spark.range(4000).select(F.col("id").alias("key"), F.lit(1).alias("n"))
+    keys = spark.createDataFrame([(k,) for k in (0, 7, 7, 1234, 3999)], "key long")
+    found = op.asked(sets, keys)
+    got = {r["key"] for r in found.collect()}
+    assert {0, 7, 1234, 3999} <= got and len(got) < 40 and found.columns == sets.columns
+    assert op.asked(sets, keys.where("key < 0")).count() == 0
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_with_the_same_keys_are_carried_once(spark):
+    rows = [(t, k, k // 2) for t, keys in enumerate([(1, 2, 9), (9, 2, 1), (1, 2), (2, 3), (2, 3), (5,), (1, 2, 9), (1, 2, 8)]) for k in keys]
+    left = spark.createDataFrame(rows, "tok long, key long, c long")
+    assert {r["tok"] for r in op.lists_once(left, "key").collect()} == {0, 2, 3, 7}
+    assert sorted(map(tuple, op.lists_once(left, "c").collect())) == sorted(r for r in rows if r[0] in (0, 2, 7))
