@@ -18,7 +18,6 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +33,7 @@ END = 1
 #: Entries of the memo of white-space words, per Python worker.
 WORDS = 700_000
 #: Words of one call of the tokenizers library.
-CALL = 512
+CALL = 4096
 #: Characters of the texts that are encoded together, about.
 TOGETHER = 1_000_000
 #: Pieces of one (length, bucket) group, about.
@@ -67,16 +66,22 @@ class WordMemo:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; words that are new to the memo are encoded together."""
         split = [self._words(t) for t in texts]
-        used = set(chain.from_iterable(split))
-        new = list(used.difference(self.memo))
-        if len(self.memo) + len(new) > WORDS:
-            self.memo = {w: ids for w in used if (ids := self.memo.get(w)) is not None}  # what these texts use stays
-        self.memo.update(zip(new, self._many(new), strict=True))
-        look = self.memo.__getitem__
-        out = [self._ids(text) if text and not words and _ODD_SPACE.search(text) else b"".join(map(look, words)) for text, words in zip(texts, split, strict=True)]
-        for w in new:
-            if len(w) > 64:
-                del self.memo[w]
+        found = [list(map(self.memo.get, words)) for words in split]
+        new = list({w for words, ids in zip(split, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None})
+        made: dict[str, bytes] = {}
+        if new:
+            made = dict(zip(new, self._many(new), strict=True))
+            if len(self.memo) + len(new) > WORDS:
+                self.memo.clear()
+            self.memo.update((w, ids) for w, ids in made.items() if len(w) <= 64)
+        out = []
+        for text, words, ids in zip(texts, split, found, strict=True):
+            if text and not words and _ODD_SPACE.search(text):
+                out.append(self._ids(text))
+            elif None in ids:
+                out.append(b"".join([made[w] if i is None else i for w, i in zip(words, ids, strict=True)]))
+            else:
+                out.append(b"".join(ids))
         return out
 
     def _words(self, text: str | None) -> list[str]:
