@@ -18,12 +18,14 @@ Pairs within a posting list are never listed. Components grow in rounds:
 
 * hubs: every class of a list is compared with one hub of it, so a group of
   thousands of near copies costs about one comparison a member;
-* forests: where a list still holds several components, tasks over pairs of
-  blocks of it refute pairs by parity bitmaps and give back a spanning forest of
-  what is left, the likest pairs first, to be verified like the hubs' pairs;
-* the rest: rows that still have an open partner in another component are brought
-  together with their whole sets and every such pair is verified on the spot;
-  links come back as a forest.
+* forests: where a list still holds several components, lists that hold much the
+  same classes are made one, and tasks over pairs of blocks of it refute pairs by
+  parity bitmaps. Of the rows that still have an open partner in another component
+  they give back a spanning forest, the likest pairs first, to be verified like the
+  hubs' pairs;
+* the rest: rows whose lists still hold several components are brought together
+  with their whole sets and every open pair is verified on the spot; links come
+  back as a forest.
 
 No step gives more rows than it has postings, and no pair that could join two
 components is left out. Postings carry two numbers; bitmaps and sets are fetched
@@ -215,10 +217,19 @@ def whole_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int) ->
 def asked(sets: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``sets`` whose key is among ``keys (key)``, and a few by chance,
     found without a shuffle of ``sets``: by a filter of fixed size."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-    words64 = keys.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).cast("long").alias("_at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 as int))")).alias("_bits"))
-    hit = sets.withColumn("_slot", slot).withColumn("_at", F.floor(F.col("_slot") / 64).cast("long")).join(F.broadcast(words64), "_at")
-    return hit.where("(shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1L) = 1L").select(*sets.columns)
+    return split(sets, "key", keys)[1]
+
+
+def split(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` (never null) is not in the table ``keys``, and the others:
+    those in it and a few by chance. No row is shuffled: a filter of fixed size decides."""
+    slot, at, bits = (unused(rows, x) for x in ("_slot", "_at", "_bits"))
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    words64 = keys.select(place.alias(slot)).groupBy(F.floor(F.col(slot) / 64).cast("long").alias(at)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} % 64 as int))")).alias(bits))
+    held = rows.withColumn(slot, place).withColumn(at, F.floor(F.col(slot) / 64).cast("long")).join(F.broadcast(words64), at, "left")
+    inside = F.coalesce(F.expr(f"shiftrightunsigned({bits}, cast({slot} % 64 as int)) & 1L") == 1, F.lit(False))
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in rows.columns]
+    return held.where(~inside).select(*columns), held.where(inside).select(*columns)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -277,12 +288,21 @@ def lists_once(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(one, "tok", "left_semi")
 
 
+def lists_merged(rows: DataFrame) -> DataFrame:
+    """``rows (tok, key, c)`` with lists that hold much the same keys made one: those
+    whose smallest hash of a key is the same, as it is for two lists in so many cases
+    of a hundred as they share keys. Keys that meet in a list meet in its union."""
+    names = rows.groupBy("tok").agg(F.min(F.xxhash64("key")).alias("name"))
+    return rows.join(names, "tok").select(F.col("name").alias("tok"), "key", "c").distinct()
+
+
 def postings(signed: DataFrame) -> DataFrame:
     """``(tok, key)``: what each class posts after the first two orders."""
     each = signed.where("key is not null").select("key", "slack", F.explode("q").alias("tok"))
-    common = each.groupBy("tok").agg(F.count("*").alias("c"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("tok", "c")
-    found = each.join(common, "tok").groupBy("key", "tok").agg(F.first("slack").alias("slack"), F.first("c").alias("c"))
-    of_class = Window.partitionBy("key")
+    # Counts stand beside the rows they count, so each token is shuffled once.
+    of_token, of_class = Window.partitionBy("tok"), Window.partitionBy("key")
+    each = each.withColumns({"c": F.count("*").over(of_token), "lo": F.min("key").over(of_token), "hi": F.max("key").over(of_token)})
+    found = each.where("lo <> hi").groupBy("key", "tok").agg(F.first("slack").alias("slack"), F.first("c").alias("c"))
     found = found.withColumn("size", F.count("*").over(of_class)).withColumn("rank", F.row_number().over(of_class.orderBy("c", "tok")))
     found = stored(found.where(F.col("rank") <= F.col("slack") + F.col("size")).select("tok", "key"))
     # A token that only one class posts after the filter makes no pair.
@@ -425,13 +445,13 @@ def certain(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _blocked(left, sets, ["w", "s"]).mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(node, component)`` over class keys: classes that are linked.
+def links(docs: DataFrame, signed: DataFrame, left: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(node, component)`` over class keys: classes that are linked, from the
+    postings ``left (tok, key)``.
 
     Every pair of classes that reaches the threshold ends in one component, and
     no other pair is joined directly.
     """
-    left = stored(postings(signed))
     reps = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     sets = stored(whole_sets(docs, reps.join(left.select("key").distinct(), "key", "left_semi"), words, percent))
     left = left.withColumn("c", F.col("key"))
@@ -444,9 +464,9 @@ def links(docs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataF
             found = stored(verify(pairs, sets, percent))
             left = against.select("tok", "key", "c")  # the hub is done in its lists
         elif turn == HUB_ROUNDS:
+            left = stored(still_open(lists_merged(left), sets, percent))  # of what is left, bitmaps leave little
             found = stored(verify(likely(left, sets, percent), sets, percent))
         else:
-            left = stored(still_open(left, sets, percent))
             found = stored(certain(left, sets, percent))
         # Components and their union are carried on, not all edges again.
         joined = components(found if joined is None else found.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
@@ -468,8 +488,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     row has an id); ``group`` is a key of the same component.
     """
     with temporary() as scratch:
-        signed = scratch.keep(signatures(docs, words, percent))
-        joined = scratch.keep(links(docs, signed, words, percent))
+        with temporary() as first:  # the l-prefixes go when they are posted
+            whole = stored(signatures(docs, words, percent))
+            signed = scratch.keep(whole.select("doc_id", "row", "n", "key"))
+            left = first.keep(postings(whole))
+        joined = scratch.keep(links(docs, signed, left, words, percent))
     reps = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     named = reps.join(joined, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("g"))
     least = named.groupBy("g").agg(F.min("rep").alias("least"))
@@ -492,8 +515,11 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         rows = each.groupBy("row").agg(F.count("*").alias("times")).join(first, "row", "left")
         # Rows that stay and have no equal need no mention.
         rows = scratch.keep(rows.where("stays is null or times > 1").select(F.col("row").alias(key), F.coalesce("stays", F.lit(False)).alias(stays)))
-    hit = docs.withColumn(key, key_of(docs, docs.columns)).join(rows, key, "left")
-    kept = hit.where(F.col(stays).isNull()).drop(key, stays)
+    # A row whose key no filter holds stays without a shuffle of its text.
+    keyed = docs.withColumn(key, key_of(docs, docs.columns))
+    spared, hit = split(keyed, key, rows)
+    hit = hit.join(rows, key, "left")
+    kept = spared.drop(key).unionByName(hit.where(F.col(stays).isNull()).drop(key, stays))
     return kept.unionByName(hit.where(stays).dropDuplicates([key]).drop(key, stays))
 
 

@@ -166,3 +166,43 @@ def test_lists_with_the_same_keys_are_carried_once(spark):
     left = spark.createDataFrame(rows, "tok long, key long, c long")
     assert {r["tok"] for r in op.lists_once(left, "key").collect()} == {0, 2, 3, 7}
     assert sorted(map(tuple, op.lists_once(left, "c").collect())) == sorted(r for r in rows if r[0] in (0, 2, 7))
+
+
+def test_postings_are_shuffled_once_by_token(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(op, "stored", seen)
+    texts = ["a b c d e f g", "a b c d e f h", "a b c d e f g", "p q r s t u v", "one", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = op.signatures(docs, 3, 60)
+    got = op.postings(signed).collect()
+    assert plans[0].count("hashpartitioning(tok") == 1
+    keys = {r["doc_id"]: r["key"] for r in signed.collect()}
+    assert {r["key"] for r in got} == {keys[0], keys[1]} and keys[0] == keys[2]
+
+
+def test_lists_that_hold_much_the_same_keys_are_made_one(spark):
+    rng = random.Random(3)
+    lists = [sorted(rng.sample(range(60), 57)) for _ in range(80)] + [sorted(rng.sample(range(100, 4000), rng.randrange(2, 9))) for _ in range(60)]
+    rows = [(t, k, k // 2) for t, keys in enumerate(lists) for k in keys]
+    got = {}
+    for r in op.lists_merged(spark.createDataFrame(rows, "tok long, key long, c long")).collect():
+        assert r["c"] == r["key"] // 2
+        got.setdefault(r["tok"], []).append(r["key"])
+    assert all(len(keys) == len(set(keys)) for keys in got.values())
+    assert all(any(set(keys) <= set(union) for union in got.values()) for keys in lists)
+    assert sum(map(len, got.values())) < len(rows) / 4
+
+
+def test_rows_that_no_key_asks_for_are_spared(spark):
+    rows = spark.range(4000).select(F.struct(F.col("id").alias("x"), (F.col("id") * 3).alias("y")).alias("row"), F.lit("t").alias("_slot"), F.lit(1).alias("a`b"))
+    keys = rows.where("row.x in (0, 7, 3999)").select("row")
+    spared, hit = op.split(rows, "row", keys.unionByName(keys))
+    left, taken = [{r["row"]["x"] for r in x.collect()} for x in (spared, hit)]
+    assert left | taken == set(range(4000)) and not left & taken and {0, 7, 3999} <= taken and len(taken) < 40
+    assert spared.columns == hit.columns == rows.columns and spared.count() + hit.count() == 4000
+    assert op.split(rows, "row", keys.limit(0))[0].count() == 4000
