@@ -222,3 +222,49 @@ def test_image_search_moves_hashes_not_pixels_and_finds_pairs_in_hot_bands(spark
     assert {"p80", "p81", "p82"} <= {r["path"] for r in found.collect()}
     pixels = rows.withColumn("pixels", F.col("content"))
     assert sorted(map(tuple, search.find_duplicates(pixels, p, stretched=True).collect())) == sorted(map(tuple, found.collect()))
+
+
+@pytest.mark.parametrize("algorithm, degree", [("BlockMeanHash", 24), ("BlockMeanHash", 200), ("PerceptualHash", 6), ("DifferenceHash", 20)])
+def test_image_search_takes_all_neighbours_not_the_best_hundred(spark, monkeypatch, tmp_path, algorithm, degree):
+    monkeypatch.setattr(similarity, "BLOCK", 30)
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in (160, 12, 12, 12):
+        base = rng.integers(0, 256, 1024)
+        for k in range(n):
+            changed = base.copy()
+            changed[rng.integers(0, 1024)] = rng.integers(0, 256)
+            texts += [changed.astype(np.uint8).tobytes()] * (1 + k % 5 // 4)
+    texts += [rng.integers(0, 256, int(n)).astype(np.uint8).tobytes() for n in rng.integers(3, 6, 40)]
+    rows = spark.createDataFrame([(f"p{i}", bytearray(t), len(t)) for i, t in enumerate(texts)], "path string, content binary, size long")
+    of = {r["path"]: r["id"] for r in rows.select("path", F.xxhash64(F.sha2("content", 256)).alias("id")).collect()}
+    stretched = {of[f"p{i}"]: perceptual._stretched(t, perceptual.PIXELS[algorithm]) for i, t in enumerate(texts)}
+    make = {"BlockMeanHash": lambda p: perceptual.block_mean_bits(p.reshape(256, 256)), "PerceptualHash": lambda p: perceptual.perceptual_bits(p.reshape(32, 32)), "DifferenceHash": lambda p: p[:64] < p[1:65]}[algorithm]
+    ids = sorted(stretched)
+    bits = np.array([make(stretched[i]) for i in ids])
+    within = (bits[:, None] != bits[None]).sum(2) <= degree // 2
+    near = {i: [ids[k] for k in np.flatnonzero(w)] for i, w in zip(ids, within)}
+    copies = {i: sum(v == i for v in of.values()) for i in ids}
+    assert within.sum(1).max() > 100 and len(np.unique(bits, axis=0)) > 20
+    p = SearchParameters(folders=["x"], file_search_type="Images", perceptual_hash_algorithm=algorithm, degree_of_similarity=degree)
+    cache = HashCache(spark, str(tmp_path / "cache"))
+    for evict, kept in ((False, None), (True, None), (False, cache), (True, cache)):
+        groups = {}
+        for g, m in cover.greedy(ids, near, copies, evict):
+            groups.setdefault(g, []).extend(k for k, v in of.items() if v == m)
+        want = sorted((g, path) for g, paths in groups.items() if len(paths) > 1 for path in paths)
+        assert sorted(map(tuple, search.similar_images(rows, p, kept, evict, stretched=True).collect())) == want
+
+
+def test_stars_are_the_groups_of_the_walk(spark):
+    rng = np.random.default_rng(6)
+    for share in (0.005, 0.02, 0.1):
+        n = 150
+        edge = np.triu(rng.random((n, n)) < share, 1)
+        edge |= edge.T | np.eye(n, dtype=bool)
+        near = {i: np.flatnonzero(edge[i]).tolist() for i in range(n)}
+        copies = {i: int(c) for i, c in enumerate(rng.integers(1, 8, n) // 7 + 1)}
+        nodes = spark.createDataFrame([(i, copies[i], min((k for k in near[i] if k != i), default=None)) for i in range(n)], "id long, copies long, near long")
+        got = cover.stars(nodes).collect()
+        assert sorted((r["group_id"], r["member"]) for r in got) == cover.greedy(list(range(n)), near, copies)
+        assert sorted((r["group_id"], r["member"]) for r in got if not r["passed"]) == cover.greedy(list(range(n)), near, copies, evict=True)
